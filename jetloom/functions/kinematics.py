@@ -18,28 +18,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def nan_low(value: Column | str) -> Column:
+    """NaN as minus infinity, so that it fails ``>`` and ``>=`` (Spark ranks it highest)."""
+    return F.nanvl(_col(value), F.lit(float("-inf")))
+
+
 def to_gev(mev: Column | str) -> Column:
     """MeV to GeV."""
     return _col(mev) / F.lit(1000.0)
 
 
-def _momentum(pt: Column, eta: Column, phi: Column, m: Column) -> dict[str, Column]:
-    px, py, pz = pt * F.cos(phi), pt * F.sin(phi), pt * F.sinh(eta)
-    return {
-        "px": px,
-        "py": py,
-        "pz": pz,
-        "e": F.sqrt(px * px + py * py + pz * pz + m * m),
-    }
-
-
 def pair_mass(jet1: tuple, jet2: tuple) -> Column:
-    """Invariant mass of two ``(pt, eta, phi, m)`` four-vectors, floored at zero."""
-    a = _momentum(*map(_col, jet1))
-    b = _momentum(*map(_col, jet2))
-    total = {k: a[k] + b[k] for k in a}
-    p2 = sum((total[k] * total[k] for k in ("py", "pz")), total["px"] * total["px"])
-    return F.sqrt(F.greatest(total["e"] * total["e"] - p2, F.lit(0.0)))
+    """Invariant mass of two ``(pt, eta, phi, m)`` four-vectors, floored at zero.
+
+    Expanded form m1^2 + m2^2 + 2 (E1 E2 - p1.p2): each input enters every function once,
+    so the expression stays small where Catalyst copies it into a filter, and light pairs
+    keep their digits.
+    """
+    (pt1, eta1, phi1, m1), (pt2, eta2, phi2, m2) = (tuple(map(_col, j)) for j in (jet1, jet2))
+    energies = F.hypot(pt1 * F.cosh(eta1), m1) * F.hypot(pt2 * F.cosh(eta2), m2)
+    opening = F.cos(phi1 - phi2) + F.sinh(eta1) * F.sinh(eta2)
+    squared = m1 * m1 + m2 * m2 + F.lit(2.0) * (energies - pt1 * pt2 * opening)
+    return F.sqrt(F.greatest(squared, F.lit(0.0)))
 
 
 def delta_y(eta1: Column | str, eta2: Column | str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.functions.kinematics import quality_status
+from jetloom.functions.kinematics import nan_low, quality_status
 from jetloom.functions.pvalues import correlation_pvalue
 from jetloom.operators import distribution as D
 from jetloom.session import stage
@@ -34,7 +34,7 @@ def fraction(condition: Column) -> Column:
 
 
 def _exceeds(value: Column, threshold: float) -> Column:
-    return (value > F.lit(threshold)) & ~F.isnan(value)
+    return nan_low(value) > F.lit(threshold)
 
 
 def _in_bounds(value: Column) -> Column:

@@ -34,15 +34,12 @@ def quality(pt: Column, eta: Column, phi: Column, m: Column, jvt: Column, cuts:
     Every comparison is strict. NaN fails (Spark would rank it above any number), and a
     jet padded in from a shorter array (null momentum, angle or mass) fails too.
     """
-
-    def above(value: Column, threshold: float) -> Column:
-        return (value > F.lit(threshold)) & ~F.isnan(value)
-
-    keep = above(pt, cuts.pt_min) & eta.isNotNull() & phi.isNotNull() & m.isNotNull()
+    keep = (K.nan_low(pt) > F.lit(cuts.pt_min)) & eta.isNotNull() & phi.isNotNull() & m.isNotNull()
     if cuts.abs_eta_max is not None:
         keep = keep & (F.abs(eta) < F.lit(cuts.abs_eta_max))
     if cuts.jvt_min is not None:
-        keep = keep & (above(F.abs(eta), cuts.jvt_abs_eta) | above(jvt, cuts.jvt_min))
+        forward = K.nan_low(F.abs(eta)) > F.lit(cuts.jvt_abs_eta)
+        keep = keep & (forward | (K.nan_low(jvt) > F.lit(cuts.jvt_min)))
     return F.coalesce(keep, F.lit(False))
 
 
@@ -127,6 +124,8 @@ def select_events(
 def _good_rows(jets: DataFrame, cuts: SelectionCuts, unit: str) -> DataFrame:
     scaled = jets.select("event_id", *JET_FIELDS)
     if _needs_scaling(unit):
+        # Implied by the GeV cut below, but on the bare column, so it reaches the scan.
+        scaled = scaled.where(F.col("pt") >= F.lit(cuts.pt_min * 1000.0))
         scaled = scaled.withColumns({f: K.to_gev(f) for f in ("pt", "m")})
     return scaled.where(quality(*[F.col(f) for f in JET_FIELDS], cuts))
 
@@ -176,7 +175,7 @@ def mass_of_pair() -> Column:
 
 
 def _at_least(value: Column, threshold: float) -> Column:
-    return (value >= F.lit(threshold)) & ~F.isnan(value)
+    return K.nan_low(value) >= F.lit(threshold)
 
 
 def apply_event_cuts(pairs: DataFrame, cuts: SelectionCuts = DEFAULT_CUTS) -> DataFrame:
