@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.functions.interpretation import interpret_correlation
+from jetloom.functions.moments import correlation
 from jetloom.operators.features import numeric_columns
 
 
 def _correlate(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, r) rows; all coefficients come from one aggregation."""
     y = F.col(target).cast("double")
-    wide = df.agg(*[F.corr(F.col(f).cast("double"), y).alias(f) for f in features])
+    wide = df.agg(*[correlation(F.col(f).cast("double"), y).alias(f) for f in features])
     return wide.unpivot([], list(features), "feature", "r")
 
 

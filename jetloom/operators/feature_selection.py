@@ -9,6 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jetloom.functions.moments import correlation
 from jetloom.operators.correlations import top_ranked
 from jetloom.operators.distribution import exact_quantiles
 
@@ -19,7 +20,7 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, score): F statistic of the univariate linear fit, one aggregation."""
     y = F.col(target).cast("double")
     row = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.corr(F.col(f).cast("double"), y).alias(f) for f in features]
+        F.count(F.lit(1)).alias("_n"), *[correlation(F.col(f).cast("double"), y).alias(f) for f in features]
     )
     long = row.unpivot(["_n"], list(features), "feature", "r")
     r2 = F.col("r") * F.col("r")

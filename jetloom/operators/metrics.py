@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.functions.kinematics import nan_low, quality_status
+from jetloom.functions.moments import correlation
 from jetloom.functions.pvalues import correlation_pvalue
 from jetloom.operators import distribution as D
 from jetloom.session import stage
@@ -118,7 +119,7 @@ def moment_metrics(pairs: DataFrame) -> DataFrame:
 
 def pearson(pairs: DataFrame) -> DataFrame:
     """Pearson correlation and p-value, one row."""
-    return pairs.agg(F.corr("y_true", "y_pred").alias("pearson_correlation"), F.count("y_true").alias("_n")).select(
+    return pairs.agg(correlation("y_true", "y_pred").alias("pearson_correlation"), F.count("y_true").alias("_n")).select(
         "pearson_correlation",
         correlation_pvalue(F.col("pearson_correlation"), F.col("_n")).alias("pearson_pvalue"),
     )
@@ -279,7 +280,7 @@ def validate_mass_spectrum(df: DataFrame, mjj: str = "mjj", weight: Column | Non
     fit = high.agg(
         F.count(F.lit(1)).alias("n_high_mass"),
         F.regr_slope("_y", "_x").alias("_slope"),
-        F.corr("_y", "_x").alias("_r"),
+        correlation("_y", "_x").alias("_r"),
         F.var_pop("_y").alias("_var_y"),
     )
     enough = F.col("n_high_mass") > MIN_HIGH_MASS_EVENTS
@@ -344,7 +345,7 @@ def prediction_summary(pred: DataFrame) -> DataFrame:
 def scatter_summary(pairs: DataFrame) -> DataFrame:
     """Squared correlation, rmse and mean residual of a prediction scatter."""
     return pairs.agg(
-        F.pow(F.corr("y_true", "y_pred"), F.lit(2.0)).alias("r_squared"),
+        F.pow(correlation("y_true", "y_pred"), F.lit(2.0)).alias("r_squared"),
         F.sqrt(F.avg((T - P) * (T - P))).alias("rmse"),
         F.avg(P - T).alias("mean_residual"),
     )

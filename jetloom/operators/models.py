@@ -45,6 +45,9 @@ def train_boosted_trees(
     config: BoostedTreesConfig = BoostedTreesConfig(),
 ) -> PipelineModel:
     """Boosted regression trees; ``validation`` names a boolean column for early stopping."""
+    early_stop = {}
+    if validation is not None:
+        early_stop = {"validationIndicatorCol": validation, "validationTol": config.validation_tol}
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -56,9 +59,8 @@ def train_boosted_trees(
         featureSubsetStrategy=str(config.feature_share),
         seed=config.seed,
         checkpointInterval=config.checkpoint_every,
+        **early_stop,
     )
-    if validation is not None:
-        trees = trees.setValidationIndicatorCol(validation).setValidationTol(config.validation_tol)
     return Pipeline(stages=[_assembler(features), trees]).fit(rows)
 
 

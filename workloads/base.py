@@ -98,12 +98,15 @@ NO_CUTS = SelectionCuts(
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, y_true, y_pred) without jet cuts: heavy ties, some predictions above 1."""
+    """(event_id, y_true, y_pred) without jet cuts: heavy ties, some predictions above 1.
+
+    Nine decimals, so that equal separations are equal numbers under any exp().
+    """
     seen = add_observables(pick_jet_pairs(jets(spark, sf_dir), NO_CUTS))
     return seen.select(
         "event_id",
-        F.col("cos_theta_star").alias("y_true"),
-        K.parton_correction("cos_theta_star", "mjj").alias("y_pred"),
+        F.round("cos_theta_star", 9).alias("y_true"),
+        F.round(K.parton_correction("cos_theta_star", "mjj"), 9).alias("y_pred"),
     )
 
 
@@ -200,13 +203,18 @@ def sql_observed(**options) -> str:
 SQL_PAIRS = (
     f"WITH {SQL_JETS},\n{sql_pairs_of('pt > 0')},\n{SQL_MASSED},\n"
     f"obs AS (SELECT *, {SQL_OBSERVED_COLUMNS} FROM massed),\n"
-    "pairs AS (SELECT event_id, cos_theta_star AS y_true, cos_theta_star*(1+0.1*exp(-mjj/1000.0))"
-    "*(1+0.05*cos_theta_star) AS y_pred FROM obs)"
+    "pairs AS (SELECT event_id, round(cos_theta_star, 9) AS y_true, round(cos_theta_star*(1+0.1*exp(-mjj/1000.0))"
+    "*(1+0.05*cos_theta_star), 9) AS y_pred FROM obs)"
 )
 
 SQL_DIJETS = sql_observed()
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """Doubles to nine decimals, as in :func:`pairs`, for statistics that depend on ties."""
+    return rounded(df, 9)
+
+
 def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
     """Doubles rounded for comparison: one scale, or per-column scales (default 6)."""
     kinds = dict(df.dtypes)

@@ -87,12 +87,14 @@ _observable_query("p6", "cos_theta_star")
     "p7_observable_set",
     SQL_DIJETS
     + " SELECT event_id, n_jets, round(mjj, 4) AS mjj, "
-    + sql_round([*OBSERVABLES[1:], *PAIR_COLUMNS])
+    + sql_round(OBSERVABLES[1:])
+    + ", "
+    + sql_round(PAIR_COLUMNS, 8)
     + " FROM obs",
 )
 def p7(spark, sf_dir):
     columns = ["event_id", "n_jets", *OBSERVABLES, *PAIR_COLUMNS]
-    return rounded(observed(spark, sf_dir).select(*columns), {"mjj": 4})
+    return rounded(observed(spark, sf_dir).select(*columns), {"mjj": 4, **{c: 8 for c in PAIR_COLUMNS}})
 
 
 @query(
@@ -422,10 +424,10 @@ def a1(spark, sf_dir):
 
 @query(
     "a1_leading_and_subleading_rows",
-    f"WITH {SQL_JETS},\n{sql_pairs_of()} SELECT event_id, {sql_round(PAIR_COLUMNS)} FROM picked",
+    f"WITH {SQL_JETS},\n{sql_pairs_of()} SELECT event_id, {sql_round(PAIR_COLUMNS, 8)} FROM picked",
 )
 def a1_rows(spark, sf_dir):
-    return rounded(S.pick_jet_pairs(jets(spark, sf_dir)).select("event_id", *PAIR_COLUMNS))
+    return rounded(S.pick_jet_pairs(jets(spark, sf_dir)).select("event_id", *PAIR_COLUMNS), 8)
 
 
 @query(
