@@ -84,12 +84,17 @@ def cumulate(counts: DataFrame, weights: Sequence[str], ranges: int | None = Non
 # ---------------------------------------------------------------- two samples
 
 
-def joint_cdf(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
-    """Both empirical CDFs of columns ``a`` and ``b`` on their common support."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+def joint_table(df: DataFrame, a: str, b: str, ranges: int | None = None, times: str | None = None) -> DataFrame:
+    """Cumulated counts of columns ``a`` and ``b`` on their common support.
+
+    One such table answers KS, Wasserstein, quantiles and ranks of both columns.
+    ``times`` names a multiplicity column of an already collapsed table.
+    """
+    weight = F.col(times) if times else F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     samples = F.array(
-        F.struct(F.col(a).cast("double").alias("x"), one.alias("n_a"), zero.alias("n_b")),
-        F.struct(F.col(b).cast("double").alias("x"), zero.alias("n_a"), one.alias("n_b")),
+        F.struct(F.col(a).cast("double").alias("x"), weight.alias("n_a"), zero.alias("n_b")),
+        F.struct(F.col(b).cast("double").alias("x"), zero.alias("n_a"), weight.alias("n_b")),
     )
     counts = (
         df.select(F.inline(samples))
@@ -97,12 +102,19 @@ def joint_cdf(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataF
         .groupBy(F.lit("joint").alias("series"), "x")
         .agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
     )
-    table = cumulate(counts, ["n_a", "n_b"], ranges)
+    return cumulate(counts, ["n_a", "n_b"], ranges)
+
+
+def joint_cdf(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
+    """Both empirical CDFs on the common support."""
+    return cdf_of(joint_table(df, a, b, ranges))
+
+
+def cdf_of(table: DataFrame) -> DataFrame:
+    """The two CDFs of a :func:`joint_table`."""
     return table.select(
         "x",
         "next_x",
-        "n_a",
-        "n_b",
         "total_n_a",
         "total_n_b",
         ((F.col("before_n_a") + F.col("n_a")) / F.col("total_n_a")).alias("cdf_a"),
@@ -128,7 +140,7 @@ def two_sample_distances(cdf: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- ranks and quantiles
+# ---------------------------------------------------------------- quantiles
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -140,51 +152,62 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Per distinct value: multiplicity, position in the sorted series and average rank."""
-    table = cumulate(value_counts(df, columns), ["n"], ranges)
-    return table.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2)
-
-
-def quantiles_of(ranks: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """(series, q, value): linearly interpolated quantiles from :func:`value_ranks`."""
-    last = F.col("total_n") - 1
-    first_here, first_after = F.col("before_n"), F.col("before_n") + F.col("n")
-
-    def falls_here(q: Column) -> Column:
-        position = F.floor(last * q)
-        return (position >= first_here) & (position < first_after)
+def quantiles_of(table: DataFrame, probabilities: Sequence[float], weight: str = "n") -> DataFrame:
+    """(series, q, value): linearly interpolated quantiles of a cumulated table.
 
+    Each distinct value knows the sorted positions it covers, so the few rows holding a
+    wanted position are found by a filter, without a join.
+    """
+    last = F.col(f"total_{weight}") - 1
+    start = F.col(f"before_{weight}")
+    end = start + F.col(weight)
     wanted = F.array(*[F.lit(float(q)) for q in probabilities])
-    hits = ranks.select("*", F.explode(F.filter(wanted, falls_here)).alias("q"))
-    position = last * F.col("q")
-    low = F.floor(position)
-    upper = F.when(low + 1 < first_after, F.col("x")).otherwise(F.coalesce("next_x", "x"))
-    return hits.select(
-        "series",
-        "q",
-        (F.col("x") + (position - low) * (upper - F.col("x"))).alias("value"),
+
+    def covered(position: Column) -> Column:
+        return (position >= start) & (position < end)
+
+    def both_ends(q: Column) -> Column:
+        low = F.floor(last * q)
+        return F.struct(
+            q.alias("q"), (last * q - low).alias("part"), covered(low).alias("low"), covered(low + 1).alias("high")
+        )
+
+    hits = F.filter(F.transform(wanted, both_ends), lambda h: h["low"] | h["high"])
+    found = table.select("series", "x", F.inline(hits))
+    ends = found.groupBy("series", "q").agg(
+        F.max(F.when(F.col("low"), F.col("x"))).alias("a"),
+        F.max(F.when(F.col("high"), F.col("x"))).alias("b"),
+        F.max("part").alias("part"),
     )
+    above = F.coalesce(F.col("b"), F.col("a"))
+    return ends.select("series", "q", (F.col("a") + F.col("part") * (above - F.col("a"))).alias("value"))
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int | None = None
 ) -> DataFrame:
     """(series, q, value) for every column and probability, ``numpy.quantile`` rules."""
-    return quantiles_of(value_ranks(df, columns, ranges), probabilities)
+    return quantiles_of(cumulate(value_counts(df, columns), ["n"], ranges), probabilities)
+
 
+# ---------------------------------------------------------------- ranks
 
-def _attach_rank(df: DataFrame, ranks: DataFrame, column: str, spread_by: Column, out: str) -> DataFrame:
+
+def _attach_rank(
+    df: DataFrame, table: DataFrame, column: str, weight: str, spread_by: Column, out: str
+) -> DataFrame:
     """Look up the average rank of ``column`` without sending a hot value to one task.
 
     Hot values (at most HOT_SHARE of them, by counting) are answered from a broadcast
     table; their rows then travel through the shuffled lookup under many salts.
     """
-    is_hot = F.col("n") * HOT_SHARE >= F.col("total_n")
-    mine = ranks.where(F.col("series") == column)
-    hot = mine.where(is_hot).select(F.col("x").alias("_x"), F.col("avg_rank").alias("_hot"))
+    held = F.col(weight)
+    rank = F.col(f"before_{weight}") + (held + 1) / 2
+    is_hot = held * HOT_SHARE >= F.col(f"total_{weight}")
+    mine = table.where(held > 0)
+    hot = mine.where(is_hot).select(F.col("x").alias("_x"), rank.alias("_hot"))
     cold = mine.where(~is_hot).select(
-        F.col("x").alias("_x"), F.lit(0).cast("bigint").alias("_salt"), F.col("avg_rank").alias("_cold")
+        F.col("x").alias("_x"), F.lit(0).cast("bigint").alias("_salt"), rank.alias("_cold")
     )
     salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(
         1 + F.pmod(F.xxhash64(spread_by), F.lit(_range_count(df)).cast("bigint"))
@@ -198,37 +221,31 @@ def _attach_rank(df: DataFrame, ranks: DataFrame, column: str, spread_by: Column
     return looked_up.withColumn(out, F.coalesce("_hot", "_cold")).drop("_x", "_salt", "_hot", "_cold")
 
 
+def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Complete (a, b) pairs with their multiplicity ``times``; copies collapse map-side."""
+    complete = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return complete.groupBy(F.col(a), F.col(b)).agg(F.count(F.lit(1)).alias("times"))
+
+
 def spearman(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFrame:
     """Spearman correlation (average ranks for ties) and its p-value, one row."""
-    pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where(
-        F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    )
-    # Equal pairs collapse first, so neither lookup moves more than the distinct pairs.
-    pairs = stage(pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_times")))
-    ranks = _weighted_ranks(pairs, ["_a", "_b"], "_times", ranges)
-    ranks = stage(ranks)
-    both = _attach_rank(pairs, ranks, "_a", F.col("_b"), "_rank_a")
-    both = _attach_rank(both, ranks, "_b", F.col("_a"), "_rank_b")
+    pairs = stage(distinct_pairs(df, a, b))
+    return spearman_of(pairs, stage(joint_table(pairs, a, b, ranges, "times")), a, b)
+
+
+def spearman_of(pairs: DataFrame, table: DataFrame, a: str, b: str) -> DataFrame:
+    """:func:`spearman` from :func:`distinct_pairs` and their :func:`joint_table`."""
+    both = _attach_rank(pairs, table, a, "n_a", F.col(b), "_rank_a")
+    both = _attach_rank(both, table, b, "n_b", F.col(a), "_rank_b")
     return both.agg(
-        _weighted_corr(F.col("_rank_a"), F.col("_rank_b"), F.col("_times")).alias("spearman_correlation"),
-        F.sum("_times").alias("_n"),
+        _weighted_corr(F.col("_rank_a"), F.col("_rank_b"), F.col("times")).alias("spearman_correlation"),
+        F.sum("times").alias("_n"),
     ).select(
         "spearman_correlation",
         correlation_pvalue(F.col("spearman_correlation"), F.col("_n")).alias("spearman_pvalue"),
     )
 
 
-def _weighted_ranks(
-    df: DataFrame, columns: Sequence[str], weight: str, ranges: int | None
-) -> DataFrame:
-    long = df.select(weight, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [weight], list(columns), "series", "x"
-    )
-    counts = long.groupBy("series", "x").agg(F.sum(weight).alias("n"))
-    table = cumulate(counts, ["n"], ranges)
-    return table.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2)
-
-
 def _weighted_corr(a: Column, b: Column, w: Column) -> Column:
     """Pearson correlation of two rank columns with integer weights.
 

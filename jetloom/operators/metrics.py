@@ -127,25 +127,19 @@ def pearson(pairs: DataFrame) -> DataFrame:
 
 def quantile_metrics(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Truth and prediction quantiles side by side, one row per probability."""
-    table = D.exact_quantiles(pairs, ["y_true", "y_pred"], QUANTILES, ranges)
-    return _side_by_side(table)
+    return _side_by_side(D.joint_table(pairs, "y_true", "y_pred", ranges), QUANTILES)
 
 
 def quantile_quantile(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Q-Q table on the 99 percentiles."""
     grid = [i / 100 for i in range(1, 100)]
-    return _side_by_side(D.exact_quantiles(pairs, ["y_true", "y_pred"], grid, ranges))
+    return _side_by_side(D.joint_table(pairs, "y_true", "y_pred", ranges), grid)
 
 
-def _side_by_side(table: DataFrame) -> DataFrame:
-    def of(series: str) -> Column:
-        return F.max(F.when(F.col("series") == series, F.col("value")))
-
-    return table.groupBy("q").agg(
-        of("y_true").alias("q_true"),
-        of("y_pred").alias("q_pred"),
-        F.abs(of("y_true") - of("y_pred")).alias("q_difference"),
-    )
+def _side_by_side(table: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    true = D.quantiles_of(table, probabilities, "n_a").select("q", F.col("value").alias("q_true"))
+    pred = D.quantiles_of(table, probabilities, "n_b").select("q", F.col("value").alias("q_pred"))
+    return true.join(pred, "q").withColumn("q_difference", F.abs(F.col("q_true") - F.col("q_pred")))
 
 
 def _long(row: DataFrame) -> DataFrame:
@@ -161,13 +155,14 @@ def _pick(metric: str) -> Column:
 def evaluate_predictions(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The whole battery as (metric, value) rows.
 
-    One pass for all moments, one CDF table, one rank table and the two lookups of the
-    rank correlation; only one-row results are ever combined.
+    One pass for all moments; one cumulated table for KS, Wasserstein, quantiles and
+    ranks; the two rank lookups. Only one-row results are ever combined.
     """
     pairs = stage(pairs.select("y_true", "y_pred"))
-    quantiles = quantile_metrics(pairs, ranges)
+    collapsed = stage(D.distinct_pairs(pairs, "y_true", "y_pred"))
+    table = stage(D.joint_table(collapsed, "y_true", "y_pred", ranges, "times"))
     suffix = F.concat(F.lit("quantile_"), F.round(F.col("q") * 100).cast("int").cast("string"))
-    quantile_rows = quantiles.select(
+    quantile_rows = _side_by_side(table, QUANTILES).select(
         F.inline(
             F.array(
                 *[
@@ -181,10 +176,10 @@ def evaluate_predictions(pairs: DataFrame, ranges: int | None = None) -> DataFra
     )
     parts = [
         _long(moment_metrics(pairs)),
-        _long(D.two_sample_distances(D.joint_cdf(pairs, "y_true", "y_pred", ranges))),
+        _long(D.two_sample_distances(D.cdf_of(table))),
         quantile_rows,
         _long(pearson(pairs)),
-        _long(D.spearman(pairs, "y_true", "y_pred", ranges)),
+        _long(D.spearman_of(collapsed, table, "y_true", "y_pred")),
     ]
     battery = parts[0]
     for part in parts[1:]:

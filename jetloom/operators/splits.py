@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jetloom.operators.topk import first_by_key
+
 # Fixed values of the id hash (two rounds modulo the Mersenne prime 2^31 - 1).
 PRIME = 2_147_483_647
 MULTIPLIER = 742_938_285
@@ -48,5 +50,5 @@ def add_split(
 
 def first_rows(df: DataFrame, cap: int = 10_000, key: str = "event_id") -> DataFrame:
     """Detector training set: the first min(cap, n // 2) rows by id (a top-k)."""
-    size = min(cap, df.count() // 2)
-    return df.orderBy(key).limit(size)
+    total = df.count()
+    return first_by_key(df, key, min(cap, total // 2), total)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jetloom.operators.selection import zip_jets
+from jetloom.operators.topk import first_by_key
 from jetloom.schema import EVENT, FLAT_JET, PARALLEL_EVENT
 
 LAYOUTS = {"nested": EVENT, "parallel": PARALLEL_EVENT, "flat": FLAT_JET}
@@ -59,7 +60,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def cap_events(events: DataFrame, max_events: int | None, key: str = "event_id") -> DataFrame:
     """At most ``max_events`` events, the first by id so that the cap is repeatable."""
-    return events if max_events is None else events.orderBy(key).limit(max_events)
+    return events if max_events is None else first_by_key(events, key, max_events)
 
 
 def dataset_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
