@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +27,32 @@ def _range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _range_index(x: Column, edges: Column, ranges: int) -> Column:
-    """How many of the sorted edges are <= x, searched in blocks of sqrt(ranges)."""
-    block = max(1, math.isqrt(ranges))
-    heads = F.filter(edges, lambda e, i: (i + 1) % block == 0)
-    full_blocks = F.size(F.filter(heads, lambda e: e <= x))
-    inside = F.slice(edges, full_blocks * block + 1, block)
-    return full_blocks * block + F.size(F.filter(inside, lambda e: e <= x))
+def _range_edges(counts: DataFrame, ranges: int) -> dict[str, list[float]]:
+    """Per series, the values that cut its distinct values into equal ranges.
+
+    ``ranges`` numbers per series reach the driver; both factors are set by the session
+    and the column list, not by the data.
+    """
+    cut_points = [i / ranges for i in range(1, ranges)]
+    rows = counts.groupBy("series").agg(
+        F.percentile_approx("x", cut_points, max(10_000, 20 * ranges)).alias("edges")
+    ).collect()
+    return {r["series"]: sorted({e for e in r["edges"] if math.isfinite(e)}) for r in rows}
+
+
+def _tag_ranges(counts: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """``_range``: the value range of x in its series, by binary search over the edges."""
+    tagged = counts
+    chosen = F.lit(0.0)
+    for i, (series, cuts) in enumerate(sorted(edges.items())):
+        if not cuts:
+            continue
+        search = Bucketizer(
+            splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol=f"_range_{i}", handleInvalid="keep"
+        )
+        tagged = search.transform(tagged)
+        chosen = F.when(F.col("series") == series, F.col(f"_range_{i}")).otherwise(chosen)
+    return tagged.select(*counts.columns, chosen.cast("int").alias("_range"))
 
 
 def cumulate(counts: DataFrame, weights: Sequence[str], ranges: int | None = None) -> DataFrame:
@@ -41,17 +61,8 @@ def cumulate(counts: DataFrame, weights: Sequence[str], ranges: int | None = Non
     Adds for each weight w ``before_w`` (sum over smaller x in the series) and
     ``total_w``, plus ``next_x``, the following distinct value (null at the end).
     """
-    ranges = ranges or _range_count(counts)
     counts = stage(counts)
-    cut_points = [i / ranges for i in range(1, ranges)]
-    edges = counts.groupBy("series").agg(
-        F.percentile_approx("x", cut_points, max(10_000, 20 * ranges)).alias("_edges")
-    )
-    # One row per series; series are column names, so this side cannot grow with the data.
-    tagged = counts.join(F.broadcast(edges), "series").withColumn(
-        "_range", _range_index(F.col("x"), F.col("_edges"), ranges)
-    ).drop("_edges")
-
+    tagged = _tag_ranges(counts, _range_edges(counts, ranges or _range_count(counts)))
     per_range = tagged.groupBy("series", "_range").agg(
         F.min("x").alias("_first"), *[F.sum(w).alias(f"_sum_{w}") for w in weights]
     )
@@ -155,32 +166,56 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quantiles_of(table: DataFrame, probabilities: Sequence[float], weight: str = "n") -> DataFrame:
     """(series, q, value): linearly interpolated quantiles of a cumulated table.
 
-    Each distinct value knows the sorted positions it covers, so the few rows holding a
-    wanted position are found by a filter, without a join.
+    Each distinct value knows the sorted positions it covers, so the few rows next to a
+    wanted position are found by a filter, without a join: a binary search over the
+    probabilities first, the exact test on what is left.
     """
     last = F.col(f"total_{weight}") - 1
     start = F.col(f"before_{weight}")
     end = start + F.col(weight)
     wanted = F.array(*[F.lit(float(q)) for q in probabilities])
 
+    def low(q: Column) -> Column:
+        return F.floor(last * q)
+
     def covered(position: Column) -> Column:
         return (position >= start) & (position < end)
 
+    def touches(q: Column) -> Column:
+        return (low(q) < end) & (low(q) + 1 >= start)
+
     def both_ends(q: Column) -> Column:
-        low = F.floor(last * q)
         return F.struct(
-            q.alias("q"), (last * q - low).alias("part"), covered(low).alias("low"), covered(low + 1).alias("high")
+            q.alias("q"),
+            (last * q - low(q)).alias("part"),
+            covered(low(q)).alias("low"),
+            covered(low(q) + 1).alias("high"),
         )
 
-    hits = F.filter(F.transform(wanted, both_ends), lambda h: h["low"] | h["high"])
-    found = table.select("series", "x", F.inline(hits))
-    ends = found.groupBy("series", "q").agg(
-        F.max(F.when(F.col("low"), F.col("x"))).alias("a"),
-        F.max(F.when(F.col("high"), F.col("x"))).alias("b"),
-        F.max("part").alias("part"),
+    scale = F.greatest(last, F.lit(1).cast("bigint"))
+    search = Bucketizer(
+        splitsArray=[[-math.inf, *sorted({float(q) for q in probabilities}), math.inf]] * 2,
+        inputCols=["_from", "_to"],
+        outputCols=["_q_from", "_q_to"],
+    )
+    # One position of slack on either side absorbs rounding of the shares.
+    shares = table.where(F.col(weight) > 0).withColumns(
+        {"_from": (start - 2) / scale, "_to": (end + 1) / scale}
+    )
+    near = search.transform(shares).where(F.col("_q_to") > F.col("_q_from"))
+    hits = F.transform(F.filter(wanted, touches), both_ends)
+    ends = (
+        near.select("series", "x", F.inline(hits))
+        .groupBy("series", "q")
+        .agg(
+            F.max(F.when(F.col("low"), F.col("x"))).alias("a"),
+            F.max(F.when(F.col("high"), F.col("x"))).alias("b"),
+            F.max("part").alias("part"),
+        )
     )
-    above = F.coalesce(F.col("b"), F.col("a"))
-    return ends.select("series", "q", (F.col("a") + F.col("part") * (above - F.col("a"))).alias("value"))
+    a, part = F.col("a"), F.col("part")
+    between = a + part * (F.coalesce(F.col("b"), a) - a)
+    return ends.select("series", "q", F.when(part == 0, a).otherwise(between).alias("value"))
 
 
 def exact_quantiles(

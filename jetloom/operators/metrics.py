@@ -26,7 +26,13 @@ HIGH_MASS_GEV = 500.0
 MIN_HIGH_MASS_EVENTS = 100
 SLOPE_RANGE = (-5.0, -4.0)
 
-T, P = F.col("y_true"), F.col("y_pred")
+
+def _truth() -> Column:
+    return F.col("y_true")
+
+
+def _pred() -> Column:
+    return F.col("y_pred")
 
 
 def fraction(condition: Column) -> Column:
@@ -58,13 +64,13 @@ def r2(truth: Column, pred: Column) -> Column:
 
 def error_aggregates() -> dict[str, Column]:
     """r2, mse, rmse, mae, mape."""
-    err = T - P
+    err = _truth() - _pred()
     return {
-        "r2_score": r2(T, P),
+        "r2_score": r2(_truth(), _pred()),
         "mse": F.avg(err * err),
         "rmse": F.sqrt(F.avg(err * err)),
         "mae": F.avg(F.abs(err)),
-        "mape": F.avg(F.abs(F.try_divide(err, T + F.lit(1e-8)))) * 100.0,
+        "mape": F.avg(F.abs(F.try_divide(err, _truth() + F.lit(1e-8)))) * 100.0,
     }
 
 
@@ -73,7 +79,7 @@ def forward_aggregates() -> dict[str, Column]:
     out: dict[str, Column] = {}
     for threshold in FORWARD_THRESHOLDS:
         key = percent(threshold)
-        true, pred = fraction(_exceeds(T, threshold)), fraction(_exceeds(P, threshold))
+        true, pred = fraction(_exceeds(_truth(), threshold)), fraction(_exceeds(_pred(), threshold))
         out[f"forward_fraction_true_{key}"] = true
         out[f"forward_fraction_pred_{key}"] = pred
         out[f"forward_difference_{key}"] = F.abs(true - pred)
@@ -83,25 +89,25 @@ def forward_aggregates() -> dict[str, Column]:
 def moment_aggregates() -> dict[str, Column]:
     """Means, population deviations, their comparison, skewness and excess kurtosis."""
     return {
-        "mean_true": F.avg(T),
-        "mean_pred": F.avg(P),
-        "mean_difference": F.abs(F.avg(T) - F.avg(P)),
-        "std_true": F.stddev_pop(T),
-        "std_pred": F.stddev_pop(P),
-        "std_ratio": F.try_divide(F.stddev_pop(P), F.stddev_pop(T)),
-        "skewness_true": F.skewness(T),
-        "skewness_pred": F.skewness(P),
-        "kurtosis_true": F.kurtosis(T),
-        "kurtosis_pred": F.kurtosis(P),
+        "mean_true": F.avg(_truth()),
+        "mean_pred": F.avg(_pred()),
+        "mean_difference": F.abs(F.avg(_truth()) - F.avg(_pred())),
+        "std_true": F.stddev_pop(_truth()),
+        "std_pred": F.stddev_pop(_pred()),
+        "std_ratio": F.try_divide(F.stddev_pop(_pred()), F.stddev_pop(_truth())),
+        "skewness_true": F.skewness(_truth()),
+        "skewness_pred": F.skewness(_pred()),
+        "kurtosis_true": F.kurtosis(_truth()),
+        "kurtosis_pred": F.kurtosis(_pred()),
     }
 
 
 def bounds_aggregates() -> dict[str, Column]:
     """Share inside [0, 1] and the summed overshoot of the predictions."""
-    overshoot = F.greatest(-P, F.lit(0.0)) + F.greatest(P - 1.0, F.lit(0.0))
+    overshoot = F.greatest(-_pred(), F.lit(0.0)) + F.greatest(_pred() - 1.0, F.lit(0.0))
     return {
-        "fraction_in_bounds_true": fraction(_in_bounds(T)),
-        "fraction_in_bounds_pred": fraction(_in_bounds(P)),
+        "fraction_in_bounds_true": fraction(_in_bounds(_truth())),
+        "fraction_in_bounds_pred": fraction(_in_bounds(_pred())),
         "out_of_bounds_penalty": F.sum(overshoot),
     }
 
@@ -127,13 +133,13 @@ def pearson(pairs: DataFrame) -> DataFrame:
 
 def quantile_metrics(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Truth and prediction quantiles side by side, one row per probability."""
-    return _side_by_side(D.joint_table(pairs, "y_true", "y_pred", ranges), QUANTILES)
+    return _side_by_side(stage(D.joint_table(pairs, "y_true", "y_pred", ranges)), QUANTILES)
 
 
 def quantile_quantile(pairs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Q-Q table on the 99 percentiles."""
     grid = [i / 100 for i in range(1, 100)]
-    return _side_by_side(D.joint_table(pairs, "y_true", "y_pred", ranges), grid)
+    return _side_by_side(stage(D.joint_table(pairs, "y_true", "y_pred", ranges)), grid)
 
 
 def _side_by_side(table: DataFrame, probabilities: Sequence[float]) -> DataFrame:
@@ -294,21 +300,21 @@ def validate_mass_spectrum(df: DataFrame, mjj: str = "mjj", weight: Column | Non
 def validate_models(long: DataFrame) -> DataFrame:
     """Truth-free checks per model over (model, y_pred) rows."""
     return long.groupBy("model").agg(
-        fraction(_exceeds(P, 0.8)).alias("forward_scattering_fraction"),
-        F.avg(P).alias("mean_cos_theta"),
-        F.stddev_pop(P).alias("std_cos_theta"),
-        fraction(_in_bounds(P)).alias("fraction_in_bounds"),
+        fraction(_exceeds(_pred(), 0.8)).alias("forward_scattering_fraction"),
+        F.avg(_pred()).alias("mean_cos_theta"),
+        F.stddev_pop(_pred()).alias("std_cos_theta"),
+        fraction(_in_bounds(_pred())).alias("fraction_in_bounds"),
     )
 
 
 def constraint_satisfaction(pred: DataFrame) -> DataFrame:
     """How far predictions respect the physical range, one row."""
     return pred.agg(
-        fraction((P < 0.0) | _exceeds(P, 1.0)).alias("bounds_violation_rate"),
-        F.avg(P).alias("mean_cos_theta_star"),
-        F.stddev_pop(P).alias("prediction_std"),
-        F.var_pop(P).alias("prediction_variance"),
-        fraction(_exceeds(P, 0.5)).alias("forward_scattering_fraction"),
+        fraction((_pred() < 0.0) | _exceeds(_pred(), 1.0)).alias("bounds_violation_rate"),
+        F.avg(_pred()).alias("mean_cos_theta_star"),
+        F.stddev_pop(_pred()).alias("prediction_std"),
+        F.var_pop(_pred()).alias("prediction_variance"),
+        fraction(_exceeds(_pred(), 0.5)).alias("forward_scattering_fraction"),
     )
 
 
@@ -316,10 +322,10 @@ def physics_loss(pairs: DataFrame, physics_weight: float = 0.1) -> DataFrame:
     """Physics-informed loss of a prediction table and its terms, one row."""
     zero = F.lit(0.0)
     row = pairs.agg(
-        F.avg((P - T) * (P - T)).alias("mse_loss"),
-        (F.avg(F.greatest(-P, zero)) + F.avg(F.greatest(P - 1.0, zero))).alias("bounds_penalty"),
-        F.avg(F.greatest(0.2 - P, zero)).alias("forward_preference"),
-        F.greatest(0.01 - F.var_samp(P), zero).alias("variance_penalty"),
+        F.avg((_pred() - _truth()) * (_pred() - _truth())).alias("mse_loss"),
+        (F.avg(F.greatest(-_pred(), zero)) + F.avg(F.greatest(_pred() - 1.0, zero))).alias("bounds_penalty"),
+        F.avg(F.greatest(0.2 - _pred(), zero)).alias("forward_preference"),
+        F.greatest(0.01 - F.var_samp(_pred()), zero).alias("variance_penalty"),
     )
     total = (
         F.col("mse_loss")
@@ -333,7 +339,7 @@ def physics_loss(pairs: DataFrame, physics_weight: float = 0.1) -> DataFrame:
 def prediction_summary(pred: DataFrame) -> DataFrame:
     """Mean, population deviation, minimum and maximum of the predictions."""
     return pred.agg(
-        F.avg(P).alias("mean"), F.stddev_pop(P).alias("std"), F.min(P).alias("min"), F.max(P).alias("max")
+        F.avg(_pred()).alias("mean"), F.stddev_pop(_pred()).alias("std"), F.min(_pred()).alias("min"), F.max(_pred()).alias("max")
     )
 
 
@@ -341,8 +347,8 @@ def scatter_summary(pairs: DataFrame) -> DataFrame:
     """Squared correlation, rmse and mean residual of a prediction scatter."""
     return pairs.agg(
         F.pow(correlation("y_true", "y_pred"), F.lit(2.0)).alias("r_squared"),
-        F.sqrt(F.avg((T - P) * (T - P))).alias("rmse"),
-        F.avg(P - T).alias("mean_residual"),
+        F.sqrt(F.avg((_truth() - _pred()) * (_truth() - _pred()))).alias("rmse"),
+        F.avg(_pred() - _truth()).alias("mean_residual"),
     )
 
 
