@@ -1,4 +1,9 @@
-"""Aggregates that stay defined on constant columns."""
+"""Aggregates that stay defined on constant columns.
+
+Spark merges partial moments in floating point, so the variance of a constant column can
+come out as 1e-32 instead of 0; and under ANSI arithmetic ``corr`` raises when it is 0.
+Constancy is therefore decided by minimum and maximum, which are exact.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson correlation over rows where both are present; NULL for a constant column.
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def variance(c: Column | str) -> Column:
+    """Population variance, exactly 0 on a constant column."""
+    c = _col(c)
+    return F.when(F.min(c) == F.max(c), F.lit(0.0)).otherwise(F.var_pop(c))
 
-    Spark's ``corr`` raises on zero variance under ANSI arithmetic.
-    """
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+
+def deviation(c: Column | str) -> Column:
+    """Population standard deviation, exactly 0 on a constant column."""
+    c = _col(c)
+    return F.when(F.min(c) == F.max(c), F.lit(0.0)).otherwise(F.stddev_pop(c))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over rows where both are present; NULL for a constant column."""
+    a, b = _col(a), _col(b)
     both_a, both_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
+    return F.try_divide(F.covar_pop(a, b), deviation(both_a) * deviation(both_b))

@@ -83,8 +83,8 @@ def draw_tree_samples(
         offered = columns.withColumn("tree", tree.cast("int")).where(uniform < math.ceil(share * 1_000_000))
     else:
         offered = columns.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    lottery = F.xxhash64(F.col(key), F.col("tree"), F.lit(seed), *[F.col(f) for f in features])
-    first = Window.partitionBy("tree").orderBy("_ticket", key)
+    lottery = F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))
+    first = Window.partitionBy("tree").orderBy("_ticket", key, *features)
     return (
         offered.withColumn("_ticket", lottery)
         .withColumn("_rank", F.row_number().over(first))

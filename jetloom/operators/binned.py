@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from jetloom.functions.moments import deviation
 from jetloom.operators.metrics import r2
 
 MIN_BIN_COUNT = 10
@@ -31,7 +32,7 @@ def binned_performance(
         raise ValueError("bin edges must increase and enclose at least one bin")
     truth, pred = F.col("y_true"), F.col("y_pred")
     err = pred - truth
-    spread = F.stddev_pop(truth)
+    spread = deviation(truth)
     found = (
         pairs.withColumn("bin", _bin_index(truth, edges))
         .where(F.col("bin").isNotNull())
@@ -42,7 +43,7 @@ def binned_performance(
             F.sqrt(F.avg(err * err)).alias("bin_rmse"),
             F.avg(F.abs(err)).alias("bin_mae"),
             F.avg(err).alias("bin_bias"),
-            F.when(spread > 0, F.try_divide(F.stddev_pop(pred), spread)).alias("bin_std_ratio"),
+            F.when(spread > 0, F.try_divide(deviation(pred), spread)).alias("bin_std_ratio"),
         )
     )
     grid = pairs.sparkSession.createDataFrame(

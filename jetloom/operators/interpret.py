@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jetloom.functions.moments import deviation
+
 
 def prediction_sensitivity(
     model: PipelineModel, rows: DataFrame, features: Sequence[str], perturbation: float = 0.1
@@ -69,7 +71,7 @@ def extreme_profile(
         ]
         return row.select(F.inline(F.array(*entries)))
 
-    statistics = {"mean": F.avg, "std": F.stddev_pop}
+    statistics = {"mean": F.avg, "std": deviation}
     ends = extremes.agg(
         *[
             fn(on(side, f)).alias(f"{side}_{stat}__{f}")

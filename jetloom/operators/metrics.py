@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.functions.kinematics import nan_low, quality_status
-from jetloom.functions.moments import correlation
+from jetloom.functions.moments import correlation, deviation, variance
 from jetloom.functions.pvalues import correlation_pvalue
 from jetloom.operators import distribution as D
 from jetloom.session import stage
@@ -56,7 +56,7 @@ def percent(share: float) -> int:
 def r2(truth: Column, pred: Column) -> Column:
     """1 - SSE/SST; for constant truth 1 when exact and 0 otherwise."""
     sse = F.sum((truth - pred) * (truth - pred))
-    sst = F.count(truth) * F.var_pop(truth)
+    sst = F.count(truth) * variance(truth)
     return F.when(sst > 0, 1 - F.try_divide(sse, sst)).otherwise(
         F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     )
@@ -92,9 +92,9 @@ def moment_aggregates() -> dict[str, Column]:
         "mean_true": F.avg(_truth()),
         "mean_pred": F.avg(_pred()),
         "mean_difference": F.abs(F.avg(_truth()) - F.avg(_pred())),
-        "std_true": F.stddev_pop(_truth()),
-        "std_pred": F.stddev_pop(_pred()),
-        "std_ratio": F.try_divide(F.stddev_pop(_pred()), F.stddev_pop(_truth())),
+        "std_true": deviation(_truth()),
+        "std_pred": deviation(_pred()),
+        "std_ratio": F.try_divide(deviation(_pred()), deviation(_truth())),
         "skewness_true": F.skewness(_truth()),
         "skewness_pred": F.skewness(_pred()),
         "kurtosis_true": F.kurtosis(_truth()),
@@ -282,7 +282,7 @@ def validate_mass_spectrum(df: DataFrame, mjj: str = "mjj", weight: Column | Non
         F.count(F.lit(1)).alias("n_high_mass"),
         F.regr_slope("_y", "_x").alias("_slope"),
         correlation("_y", "_x").alias("_r"),
-        F.var_pop("_y").alias("_var_y"),
+        variance("_y").alias("_var_y"),
     )
     enough = F.col("n_high_mass") > MIN_HIGH_MASS_EVENTS
     low, high_edge = SLOPE_RANGE
@@ -302,7 +302,7 @@ def validate_models(long: DataFrame) -> DataFrame:
     return long.groupBy("model").agg(
         fraction(_exceeds(_pred(), 0.8)).alias("forward_scattering_fraction"),
         F.avg(_pred()).alias("mean_cos_theta"),
-        F.stddev_pop(_pred()).alias("std_cos_theta"),
+        deviation(_pred()).alias("std_cos_theta"),
         fraction(_in_bounds(_pred())).alias("fraction_in_bounds"),
     )
 
@@ -312,8 +312,8 @@ def constraint_satisfaction(pred: DataFrame) -> DataFrame:
     return pred.agg(
         fraction((_pred() < 0.0) | _exceeds(_pred(), 1.0)).alias("bounds_violation_rate"),
         F.avg(_pred()).alias("mean_cos_theta_star"),
-        F.stddev_pop(_pred()).alias("prediction_std"),
-        F.var_pop(_pred()).alias("prediction_variance"),
+        deviation(_pred()).alias("prediction_std"),
+        variance(_pred()).alias("prediction_variance"),
         fraction(_exceeds(_pred(), 0.5)).alias("forward_scattering_fraction"),
     )
 
@@ -339,7 +339,7 @@ def physics_loss(pairs: DataFrame, physics_weight: float = 0.1) -> DataFrame:
 def prediction_summary(pred: DataFrame) -> DataFrame:
     """Mean, population deviation, minimum and maximum of the predictions."""
     return pred.agg(
-        F.avg(_pred()).alias("mean"), F.stddev_pop(_pred()).alias("std"), F.min(_pred()).alias("min"), F.max(_pred()).alias("max")
+        F.avg(_pred()).alias("mean"), deviation(_pred()).alias("std"), F.min(_pred()).alias("min"), F.max(_pred()).alias("max")
     )
 
 

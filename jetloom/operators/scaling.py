@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jetloom.functions.moments import deviation
 from jetloom.operators.distribution import exact_quantiles
 
 METHODS = ("robust", "standard", "minmax")
@@ -90,7 +91,7 @@ class FeatureScaler:
 
     def _moments(self, df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
         if self.method == "standard":
-            center, spread = F.avg, F.stddev_pop
+            center, spread = F.avg, deviation
         else:
             center, spread = F.min, lambda c: F.max(c) - F.min(c)
         row = df.agg(

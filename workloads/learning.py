@@ -175,7 +175,7 @@ _FLAGS = (
 def _votes_sql(condition: str) -> str:
     return (
         SQL_PAIRS
-        + f" SELECT event_id, round((y_true + y_pred + y_pred) / 3.0, 6) AS ensemble_score, ({_FLAGS}) {condition} AS ensemble_anomaly FROM pairs"
+        + f" SELECT event_id, round((y_true + y_pred + y_pred) / 3.0, 9) AS ensemble_score, ({_FLAGS}) {condition} AS ensemble_anomaly FROM pairs"
     )
 
 
@@ -192,7 +192,7 @@ def _vote_query(voting: str, condition: str):
             (F.col("y_pred") > 0.9).alias("f3"),
         )
         voted = AN.combine_votes(rows, ["s1", "s2", "s3"], ["f1", "f2", "f3"], voting)
-        return rounded(voted.select("event_id", "ensemble_score", "ensemble_anomaly"))
+        return rounded(voted.select("event_id", "ensemble_score", "ensemble_anomaly"), 9)
 
 
 for _voting, _condition in (("majority", "> 1.5"), ("unanimous", "= 3"), ("any", "> 0")):

@@ -158,9 +158,9 @@ def p11(spark, sf_dir):
     return rounded(observed(spark, sf_dir).select("event_id", corrected.alias("corrected")))
 
 
-@query("p12_residual", SQL_PAIRS + " SELECT event_id, round(y_pred - y_true, 6) AS residual FROM pairs")
+@query("p12_residual", SQL_PAIRS + " SELECT event_id, round(y_pred - y_true, 9) AS residual FROM pairs")
 def p12(spark, sf_dir):
-    return rounded(pairs(spark, sf_dir).select("event_id", K.residual("y_true", "y_pred").alias("residual")))
+    return rounded(pairs(spark, sf_dir).select("event_id", K.residual("y_true", "y_pred").alias("residual")), 9)
 
 
 @query(
