@@ -12,7 +12,7 @@ from jetloom.operators.scaling import FeatureScaler
 from jetloom.operators.splits import add_split, first_rows
 from jetloom.plans import flows
 from jetloom.session import stage, stage_path
-from workloads.base import SQL_PAIRS, nested_events, observed, pairs, query, rounded
+from workloads.base import SQL_DIJETS, SQL_PAIRS, nested_events, observed, pairs, query, rounded, sql_round
 
 # A short boosting run: the registered queries show the operator, not a tuned model.
 SHORT = ML.BoostedTreesConfig(rounds=5, max_depth=4)
@@ -231,3 +231,84 @@ def j1(spark, sf_dir):
 @query("g30_anomaly_rate")
 def g30(spark, sf_dir):
     return AN.anomaly_rate(_detected(spark, sf_dir, "elliptic_envelope")[0])
+
+
+# ---------------------------------------------------------------- SQL-checkable parts
+
+
+@query(
+    "l2_regression_metrics",
+    SQL_PAIRS
+    + " SELECT "
+    + sql_round(
+        [
+            ("val_mse", "avg((y_true - y_pred) * (y_true - y_pred))"),
+            ("val_mae", "avg(abs(y_true - y_pred))"),
+            ("val_r2", "1 - sum((y_true - y_pred) * (y_true - y_pred)) / (count(*) * var_pop(y_true))"),
+            ("val_rmse", "sqrt(avg((y_true - y_pred) * (y_true - y_pred)))"),
+        ]
+    )
+    + " FROM pairs",
+)
+def l2_pairs(spark, sf_dir):
+    return rounded(ML.regression_metrics(pairs(spark, sf_dir), "y_true", "y_pred"))
+
+
+@query(
+    "n5_standardised_rows",
+    SQL_DIJETS
+    + ", numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM obs), "
+    "training AS (SELECT * FROM numbered WHERE i <= least(10000, n // 2)), fit AS (SELECT "
+    + ", ".join(f"avg({f}) AS c_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
+    + " FROM training) SELECT event_id, "
+    + sql_round([(f, f"({f} - c_{f}) / s_{f}") for f in FEATURES])
+    + " FROM numbered, fit",
+)
+def n5_rows(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    scaler = FeatureScaler("standard")
+    scaler.fit(first_rows(rows), FEATURES)
+    return rounded(scaler.transform(rows).select("event_id", *FEATURES))
+
+
+def _score_tables(spark, sf_dir):
+    """Two detectors' score tables with stand-in scores, keyed by event id."""
+    scored = pairs(spark, sf_dir)
+
+    def output(score, threshold):
+        return scored.select(
+            "event_id", F.col(score).alias("anomaly_score"), (F.col(score) > threshold).alias("is_anomaly")
+        )
+
+    return output("y_pred", 0.9), output("y_true", 0.85)
+
+
+@query(
+    "j1_join_score_tables",
+    SQL_PAIRS
+    + " SELECT event_id, round(y_pred, 9) AS iso_forest_score, y_pred > 0.9 AS iso_forest_anomaly, "
+    "round(y_true, 9) AS reconstruction_error, y_true > 0.85 AS reconstruction_anomaly, "
+    "y_pred > 0.9 AND y_true > 0.85 AS both_anomaly FROM pairs",
+)
+def j1_tables(spark, sf_dir):
+    return rounded(AN.compare_detectors(*_score_tables(spark, sf_dir)), 9)
+
+
+@query(
+    "g30_rate_of_score_table",
+    SQL_PAIRS
+    + " SELECT count(*) FILTER (WHERE y_pred > 0.9) AS n_anomalies, count(*) AS n_events, "
+    "round(avg(CASE WHEN y_pred > 0.9 THEN 1.0 ELSE 0.0 END), 6) AS anomaly_rate FROM pairs",
+)
+def g30_table(spark, sf_dir):
+    return rounded(AN.anomaly_rate(_score_tables(spark, sf_dir)[0]))
+
+
+@query(
+    "n7_rate_of_common_anomalies",
+    SQL_PAIRS
+    + " SELECT count(*) FILTER (WHERE y_pred > 0.9 AND y_true > 0.85) AS n_anomalies, count(*) AS n_events, "
+    "round(avg(CASE WHEN y_pred > 0.9 AND y_true > 0.85 THEN 1.0 ELSE 0.0 END), 6) AS anomaly_rate FROM pairs",
+)
+def n7_tables(spark, sf_dir):
+    return rounded(AN.anomaly_rate(AN.compare_detectors(*_score_tables(spark, sf_dir)), "both_anomaly"))
