@@ -241,12 +241,12 @@ def _attach_rank(
     is_hot = held * HOT_SHARE >= F.col(f"total_{weight}")
     mine = table.where(held > 0)
     hot = mine.where(is_hot).select(F.col("x").alias("_x"), rank.alias("_hot"))
-    cold = mine.where(~is_hot).select(
-        F.col("x").alias("_x"), F.lit(0).cast("bigint").alias("_salt"), rank.alias("_cold")
-    )
-    salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(
-        1 + F.pmod(F.xxhash64(spread_by), F.lit(_range_count(df)).cast("bigint"))
-    )
+    # Ordinary values take a salt from themselves, on both sides; a constant salt would be
+    # folded out of the join key. Rows already answered take a salt no lookup row has.
+    salts = F.lit(_range_count(df)).cast("bigint")
+    own_salt = F.pmod(F.xxhash64("_x"), salts)
+    cold = mine.where(~is_hot).select(F.col("x").alias("_x"), rank.alias("_cold")).withColumn("_salt", own_salt)
+    salt = F.when(F.col("_hot").isNull(), own_salt).otherwise(salts + F.pmod(F.xxhash64(spread_by), salts))
     looked_up = (
         df.withColumn("_x", F.col(column).cast("double"))
         .join(F.broadcast(hot), "_x", "left")

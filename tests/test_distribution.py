@@ -88,6 +88,26 @@ def test_no_single_task_window(spark):
     assert "hashpartitioning(series" in plan and "SinglePartition" not in plan
 
 
+def test_rank_lookup_spreads_hot_values(spark):
+    """A third of the rows share one value, yet no shuffled task gets more than its part."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=6000)
+    a[:2000] = 0.5
+    pairs = D.stage(D.distinct_pairs(make(spark, a, rng.normal(size=6000)), "a", "b"))
+    table = D.stage(D.joint_table(pairs, "a", "b", None, "times"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = D._attach_rank(pairs, table, "a", "n_a", F.col("b"), "rank")
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("_salt") > 0 and "_salt#" in plan.split("Exchange hashpartitioning(")[1].split("ENSURE")[0]
+        sizes = ranked.groupBy(F.spark_partition_id()).agg(F.sum("times").alias("n")).collect()
+        assert max(r["n"] for r in sizes) < 2600  # 6000 rows over 4 partitions
+        assert ranked.where(F.col("rank").isNull()).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pvalues():
     # Reference values from closed forms: I_x(1/2, 1/2) = 2/pi * asin(sqrt(x)).
     for x in (0.1, 0.5, 0.9):
