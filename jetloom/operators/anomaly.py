@@ -7,6 +7,7 @@ scoring never shuffles.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jetloom.functions.pvalues import chi2_quantile
@@ -288,6 +289,47 @@ class AnomalyDetector:
             {score: shown, flag: F.col("_raw_score") > F.lit(self.threshold)}
         ).drop("_raw_score")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the fitted parameters (bounded by features squared or 100 small trees)."""
+        if self.threshold is None:
+            raise ValueError("detector is not trained yet: call fit first")
+        state: dict[str, object] = {
+            "method": self.method,
+            "contamination": self.contamination,
+            "seed": self.seed,
+            "key": self.key,
+            "features": self.features,
+            "threshold": self.threshold,
+            "scaler": self.scaler.parameters,
+        }
+        if self.method == "isolation_forest":
+            state["sample_size"] = self._sample_size
+            state.update({f"tree {i:04d}": tree for i, tree in enumerate(self._trees)})
+        elif self.method == "elliptic_envelope":
+            state["location"] = [part.tolist() for part in self._location]
+        else:
+            state["projection"] = self._projection.tolist()
+        rows = [(name, json.dumps(value)) for name, value in state.items()]
+        table = spark.createDataFrame(rows, "name string, value string")
+        table.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "AnomalyDetector":
+        """Read a detector written by :meth:`save`."""
+        rows = spark.read.parquet(path).collect()
+        state = {r["name"]: json.loads(r["value"]) for r in rows}
+        out = AnomalyDetector(state["method"], state["contamination"], state["seed"], state["key"])
+        out.features, out.threshold = state["features"], state["threshold"]
+        out.scaler = ScalerFit("standard", {f: tuple(p) for f, p in state["scaler"].items()})
+        if out.method == "isolation_forest":
+            out._sample_size = state["sample_size"]
+            out._trees = [state[name] for name in sorted(state) if name.startswith("tree ")]
+        elif out.method == "elliptic_envelope":
+            out._location = tuple(np.array(part) for part in state["location"])
+        else:
+            out._projection = np.array(state["projection"])
+        return out
+
     def reconstruction_quality(self, rows: DataFrame) -> DataFrame:
         """Total, per-feature, largest and mean absolute error, and the reconstruction."""
         if self.method != "reconstruction":

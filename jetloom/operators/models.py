@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.operators.metrics import r2
-from jetloom.session import stage_path
+from jetloom.session import checkpoint_root, stage_path
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +45,7 @@ def train_boosted_trees(
     config: BoostedTreesConfig = BoostedTreesConfig(),
 ) -> PipelineModel:
     """Boosted regression trees; ``validation`` names a boolean column for early stopping."""
+    checkpoint_root(rows.sparkSession)  # many rounds cut their lineage there
     early_stop = {}
     if validation is not None:
         early_stop = {"validationIndicatorCol": validation, "validationTol": config.validation_tol}

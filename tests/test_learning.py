@@ -258,3 +258,36 @@ def test_training_flow_keeps_the_target_out(spark, sf_dir):
     assert result.validation_metrics.first()["val_rmse"] > 0
     leaky = flows.train(table, exclude=(), config=ML.BoostedTreesConfig(rounds=10, max_depth=4))
     assert leaky.validation_metrics.first()["val_r2"] > 0.5
+
+
+def test_bundle_round_trip(spark, table, tmp_path):
+    rows = table.select("event_id", "y", *FEATURES)
+    scaler = FeatureScaler("robust").fit(rows, FEATURES)
+    scaled = scaler.transform(rows)
+    detector = AN.AnomalyDetector("isolation_forest")
+    detector.fit(scaled, FEATURES)
+    models = {"bounded": ML.train_bounded(scaled, FEATURES, "y"), "broken": ML.train_bounded(scaled, ["a"], "y")}
+    bundle = flows.InferenceBundle(models, FEATURES, scaler, detector)
+    flows.save_bundle(spark, bundle, str(tmp_path / "b"))
+    for part in (tmp_path / "b" / "models" / "broken" / "model" / "metadata").iterdir():
+        part.unlink()
+    loaded = flows.load_bundle(spark, str(tmp_path / "b"))
+    assert loaded.skipped == ["broken"] and loaded.features == FEATURES
+    names = ["bounded", "anomaly_detector_scores", "anomaly_detector_predictions"]
+    a = bundle.predict(rows).orderBy("event_id").select(*names).toPandas()
+    b = loaded.predict(rows).orderBy("event_id").select(*names).toPandas()
+    np.testing.assert_allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float), rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["elliptic_envelope", "reconstruction"])
+def test_detectors_reload(spark, contaminated, tmp_path, method):
+    df, names, _ = contaminated
+    detector = AN.AnomalyDetector(method)
+    with pytest.raises(ValueError):
+        detector.save(spark, str(tmp_path / "d"))
+    detector.fit(df, names)
+    detector.save(spark, str(tmp_path / "d"))
+    again = AN.AnomalyDetector.load(spark, str(tmp_path / "d"))
+    a = detector.detect(df).orderBy("event_id").select("anomaly_score").toPandas()
+    b = again.detect(df).orderBy("event_id").select("anomaly_score").toPandas()
+    np.testing.assert_allclose(a, b)

@@ -80,11 +80,14 @@ def l7(spark, sf_dir):
     scaler = FeatureScaler("robust").fit(rows, FEATURES)
     model = ML.train_bounded(scaler.transform(rows), FEATURES, TARGET)
     path = stage_path(spark, "bundle")
-    flows.save_bundle(spark, flows.InferenceBundle({"bounded": model}, FEATURES, scaler), path)
-    bundle = flows.load_bundle(spark, path, ["bounded"])
+    detector = AN.AnomalyDetector("elliptic_envelope")
+    detector.fit(scaler.transform(rows), FEATURES)
+    flows.save_bundle(spark, flows.InferenceBundle({"bounded": model}, FEATURES, scaler, detector), path)
+    bundle = flows.load_bundle(spark, path)
     source = stage_path(spark, "events")
     nested_events(spark, sf_dir).write.parquet(source)
-    return flows.infer(spark, source, bundle).select("event_id", "bounded")
+    scored = flows.infer(spark, source, bundle)
+    return scored.select("event_id", "bounded", "anomaly_detector_scores", "anomaly_detector_predictions")
 
 
 @query("l8_models_side_by_side")
