@@ -141,6 +141,15 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert out.select("batch_id").distinct().count() == 3
 
 
+def test_stream_skips_unreadable_files(spark, folder, tmp_path):
+    source = tmp_path / "in"
+    IO.read_table(spark, str(folder / "part0")).write.parquet(str(source))
+    (source / "part-junk.parquet").write_text("this is not a table")
+    stream = ingest.stream_events(spark, str(source), "parallel", skip_bad_files=True)
+    ingest.process_to_parquet(stream, loose, str(tmp_path / "s"), str(tmp_path / "sc"))
+    assert ids(spark.read.parquet(str(tmp_path / "s"))) == [0, 1, 2, 3]
+
+
 def test_user_functions(spark, folder):
     events = IO.read_events(spark, files(folder), "parallel")
     doubled = flows.apply_pandas_function(

@@ -207,7 +207,7 @@ SQL_PAIRS = (
     "*(1+0.05*cos_theta_star), 9) AS y_pred FROM obs)"
 )
 
-SQL_DIJETS = sql_observed()
+SQL_OBS = sql_observed()
 
 
 def steady(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from jetloom.operators.scaling import FeatureScaler
 from jetloom.operators.splits import add_split, first_rows
 from jetloom.plans import flows
 from jetloom.session import stage, stage_path
-from workloads.base import SQL_DIJETS, SQL_PAIRS, nested_events, observed, pairs, query, rounded, sql_round
+from workloads.base import SQL_OBS, SQL_PAIRS, nested_events, observed, pairs, query, rounded, sql_round
 
 # A short boosting run: the registered queries show the operator, not a tuned model.
 SHORT = ML.BoostedTreesConfig(rounds=5, max_depth=4)
@@ -259,7 +259,7 @@ def l2_pairs(spark, sf_dir):
 
 @query(
     "n5_standardised_rows",
-    SQL_DIJETS
+    SQL_OBS
     + ", numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM obs), "
     "training AS (SELECT * FROM numbered WHERE i <= least(10000, n // 2)), fit AS (SELECT "
     + ", ".join(f"avg({f}) AS c_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)

@@ -14,7 +14,7 @@ from jetloom.operators.observables import add_boost_invariants, add_observables,
 from jetloom.schema import JET_FIELDS, OBSERVABLES, PAIR_COLUMNS
 from workloads.base import (
     QUALITY,
-    SQL_DIJETS,
+    SQL_OBS,
     SQL_JETS,
     SQL_NESTED,
     SQL_PAIRS,
@@ -41,7 +41,7 @@ DY = "abs(leading_jet_eta - subleading_jet_eta)"
 
 @query(
     "flagship_mass_spectrum",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT CAST(floor(mjj / 100.0) AS BIGINT) AS mass_bin, count(*) AS n_events,"
     " round(avg(cos_theta_star), 6) AS mean_cos_theta_star FROM obs GROUP BY 1",
 )
@@ -69,7 +69,7 @@ def p1(spark, sf_dir):
 
 
 def _observable_query(qid: str, name: str, digits: int = 6):
-    oracle = SQL_DIJETS + f" SELECT event_id, round({name}, {digits}) AS {name} FROM obs"
+    oracle = SQL_OBS + f" SELECT event_id, round({name}, {digits}) AS {name} FROM obs"
 
     @query(f"{qid}_{name}", oracle)
     def run(spark, sf_dir):
@@ -85,7 +85,7 @@ _observable_query("p6", "cos_theta_star")
 
 @query(
     "p7_observable_set",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT event_id, n_jets, round(mjj, 4) AS mjj, "
     + sql_round(OBSERVABLES[1:])
     + ", "
@@ -114,7 +114,7 @@ def p8(spark, sf_dir):
 
 @query(
     "p9_boost_invariants",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT event_id, "
     + sql_round(
         [("invariant_ht", "leading_jet_pt + subleading_jet_pt"), ("boost_weight", "exp(-0.5 * delta_y * delta_y)")]
@@ -128,7 +128,7 @@ def p9(spark, sf_dir):
 
 @query(
     "p10_cross_section_weight",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT event_id, process, round(1e12 * CASE process WHEN 'qq' THEN 0.4 / pow(mjj, 4.3) "
     "WHEN 'qg' THEN 0.35 / pow(mjj, 4.4) WHEN 'gg' THEN 0.25 / pow(mjj, 4.6) ELSE 1.0 / pow(mjj, 4.5) END, 6) "
     "AS weight, round(1e12 / pow(mjj, 4.5), 6) AS inclusive_weight FROM (SELECT *, CASE n_jets WHEN 2 THEN 'qq' "
@@ -150,7 +150,7 @@ def p10(spark, sf_dir):
 
 @query(
     "p11_parton_correction",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT event_id, round(cos_theta_star*(1+0.1*exp(-mjj/1000.0))*(1+0.05*cos_theta_star), 6) AS corrected FROM obs",
 )
 def p11(spark, sf_dir):
@@ -199,7 +199,7 @@ _NAMED = ("delta_y", "chi", "mjj", "pt_balance", "eta_centrality", "delta_phi")
 
 @query(
     "p14_interpretation_text",
-    SQL_DIJETS
+    SQL_OBS
     + ", signed AS (SELECT event_id, feature, r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sgn FROM ("
     + " UNION ALL ".join(f"SELECT event_id, '{f}' AS feature, eta_centrality / 4.0 AS r FROM obs" for f in _NAMED)
     + f")) SELECT event_id, feature, {_TEXT_SQL} AS txt FROM signed",
@@ -234,7 +234,7 @@ def _feature_query(qid: str, definitions: dict[str, str]):
     names = list(definitions)
     # Dividing by a separation near zero magnifies the last digit: four places there.
     digits = 4 if qid == "e12" else 6
-    oracle = SQL_DIJETS + f" SELECT event_id, {sql_round(list(definitions.items()), digits)} FROM obs"
+    oracle = SQL_OBS + f" SELECT event_id, {sql_round(list(definitions.items()), digits)} FROM obs"
 
     @query(f"{qid}_{names[0]}", oracle)
     def run(spark, sf_dir):
@@ -247,7 +247,7 @@ for _qid, _definitions in _FEATURE_SQL.items():
 
 @query(
     "e15_conditional_features",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT event_id, round(mjj, 4) AS mjj, "
     + sql_round(["delta_y", ("log_mjj", "ln(mjj)"), ("delta_y_squared", "delta_y * delta_y")])
     + ", round(delta_y * delta_y * delta_y, 6) AS delta_y_cubed FROM obs",
@@ -264,7 +264,7 @@ ALL_FEATURES = [
     *[n for d in _FEATURE_SQL.values() for n in d if n != "eta_centrality"],
 ]
 SQL_FEATURES = (
-    SQL_DIJETS
+    SQL_OBS
     + ",\nfeat AS (SELECT *, "
     + ", ".join(f"{e} AS {n}" for d in _FEATURE_SQL.values() for n, e in d.items() if n != "eta_centrality")
     + " FROM obs)"
@@ -394,7 +394,7 @@ def f9(spark, sf_dir):
 
 @query(
     "f10_threshold_masks",
-    SQL_DIJETS
+    SQL_OBS
     + " SELECT count(*) FILTER (WHERE cos_theta_star > 0.7) AS above_70, count(*) FILTER (WHERE cos_theta_star > 0.8) "
     "AS above_80, count(*) FILTER (WHERE cos_theta_star > 0.9) AS above_90, count(*) FILTER (WHERE mjj > 500) AS heavy, "
     "count(*) FILTER (WHERE cos_theta_star >= 0 AND cos_theta_star <= 1) AS in_bounds FROM obs",

@@ -13,7 +13,7 @@ from jetloom.operators import interpret as I
 from jetloom.operators import metrics as M
 from jetloom.operators.scaling import FeatureScaler
 from jetloom.operators.splits import FOLD, MULTIPLIER, PRIME, add_split, first_rows
-from workloads.base import SQL_DIJETS, SQL_PAIRS, observed, pairs, query, rounded, sql_round, steady
+from workloads.base import SQL_OBS, SQL_PAIRS, observed, pairs, query, rounded, sql_round, steady
 from workloads.physics import _TEXT_SQL
 
 # ---------------------------------------------------------------- G: single-pass families
@@ -124,7 +124,7 @@ def g4(spark, sf_dir):
 
 @query(
     "g4_ks_pvalue",
-    SQL_DIJETS
+    SQL_OBS
     + """, both_samples AS (SELECT leading_jet_phi AS x, 1 AS a, 0 AS b FROM obs UNION ALL SELECT subleading_jet_phi, 0, 1 FROM obs),
 vals AS (SELECT x, sum(a) AS na, sum(b) AS nb FROM both_samples GROUP BY x),
 cdf AS (SELECT sum(na) OVER (ORDER BY x) / (SELECT count(*) FROM obs) AS f,
@@ -341,7 +341,7 @@ def _scored(spark, sf_dir):
 
 @query(
     "g16_feature_target_correlations",
-    SQL_DIJETS
+    SQL_OBS
     + _SCORED
     + _corr_sql("cos_theta_star")
     + " SELECT feature, round(r, 6) AS pearson_correlation, round(abs(r), 6) AS abs_correlation, "
@@ -354,7 +354,7 @@ def g16(spark, sf_dir):
 
 @query(
     "g17_feature_prediction_correlations",
-    SQL_DIJETS
+    SQL_OBS
     + _SCORED
     + _corr_sql("y_pred")
     + ", signed AS (SELECT feature, r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sgn FROM corr_rows)"
@@ -367,7 +367,7 @@ def g17(spark, sf_dir):
 
 @query(
     "a5_top_correlated_features",
-    SQL_DIJETS + _SCORED + _corr_sql("cos_theta_star")
+    SQL_OBS + _SCORED + _corr_sql("cos_theta_star")
     + " SELECT feature, round(abs(r), 6) AS abs_correlation FROM corr_rows ORDER BY abs(r) DESC, feature LIMIT 3",
 )
 def a5(spark, sf_dir):
@@ -402,7 +402,7 @@ def g18(spark, sf_dir):
 
 def _spectrum_sql(weight: str) -> str:
     return (
-        SQL_DIJETS
+        SQL_OBS
         + f", high AS (SELECT ln(mjj) AS x, ln({weight} + 1e-10) AS y FROM obs WHERE mjj > 500), "
         "fit AS (SELECT count(*) AS n, regr_slope(y, x) AS s, corr(y, x) AS r, var_pop(y) AS v FROM high) "
         "SELECT n AS n_high_mass, n <= 100 AS insufficient_high_mass_events, "
@@ -561,7 +561,7 @@ def g28(spark, sf_dir):
 
 @query(
     "a4_extreme_predictions",
-    SQL_DIJETS
+    SQL_OBS
     + _SCORED
     + " (SELECT event_id, round(y_pred, 6) AS y_pred, 'high' AS side FROM scored ORDER BY scored.y_pred DESC, event_id DESC LIMIT 10)"
     " UNION ALL (SELECT event_id, round(y_pred, 6), 'low' FROM scored ORDER BY scored.y_pred, event_id LIMIT 10)",
@@ -576,7 +576,7 @@ _EXTREME = ["mjj", "delta_y", "pt_balance", "eta_centrality"]
 
 @query(
     "g29_extreme_profile",
-    SQL_DIJETS
+    SQL_OBS
     + _SCORED
     + ", hi AS (SELECT * FROM scored ORDER BY y_pred DESC, event_id DESC LIMIT 10), "
     "lo AS (SELECT * FROM scored ORDER BY y_pred, event_id LIMIT 10) "
@@ -615,14 +615,14 @@ SPLIT_SQL = (
 )
 
 
-@query("x1_train_validation_test_split", SQL_DIJETS + f" SELECT event_id, {SPLIT_SQL} AS split FROM obs")
+@query("x1_train_validation_test_split", SQL_OBS + f" SELECT event_id, {SPLIT_SQL} AS split FROM obs")
 def x1(spark, sf_dir):
     return add_split(observed(spark, sf_dir).select("event_id"))
 
 
 @query(
     "x2_detector_training_rows",
-    SQL_DIJETS
+    SQL_OBS
     + ", n AS (SELECT least(10000, count(*) // 2) AS k FROM obs), "
     "numbered AS (SELECT event_id, mjj, row_number() OVER (ORDER BY event_id) AS i FROM obs) "
     "SELECT event_id, round(mjj, 4) AS mjj FROM numbered, n WHERE i <= k",
@@ -649,7 +649,7 @@ def _fit_sql(method: str, source: str) -> str:
 
 def _scaled_sql(method: str) -> str:
     columns = sql_round([(f, f"({f} - c_{f}) / s_{f}") for f in SCALED])
-    return SQL_DIJETS + _fit_sql(method, "obs") + f" SELECT event_id, {columns} FROM obs, fit"
+    return SQL_OBS + _fit_sql(method, "obs") + f" SELECT event_id, {columns} FROM obs, fit"
 
 
 def _scaling_query(qid: str, method: str):
@@ -665,7 +665,7 @@ for _qid, _method in (("m1", "robust"), ("m2", "standard"), ("m3", "minmax")):
 
 @query(
     "m4_apply_fitted_scaler",
-    SQL_DIJETS
+    SQL_OBS
     + f", parts AS (SELECT *, {SPLIT_SQL} AS split FROM obs), training AS (SELECT * FROM parts WHERE split = 'train')"
     + _fit_sql("standard", "training")
     + f" SELECT event_id, {sql_round([(f, f'({f} - c_{f}) / s_{f}') for f in SCALED])} FROM parts, fit WHERE split <> 'train'",
@@ -677,7 +677,7 @@ def m4(spark, sf_dir):
     return rounded(scaler.transform(rows.where(F.col("split") != "train")).drop("split"))
 
 
-@query("m5_inverse_transform", SQL_DIJETS + f" SELECT event_id, {sql_round(SCALED)} FROM obs")
+@query("m5_inverse_transform", SQL_OBS + f" SELECT event_id, {sql_round(SCALED)} FROM obs")
 def m5(spark, sf_dir):
     rows = observed(spark, sf_dir).select("event_id", *SCALED)
     scaler = FeatureScaler("minmax")
@@ -692,14 +692,14 @@ _F_ROWS = ", f_rows AS (" + " UNION ALL ".join(
 ) + "), f_scores AS (SELECT feature, r2 * (n - 2) / (1 - r2) AS score FROM f_rows)"
 
 
-@query("m7_f_statistic_k_best", SQL_DIJETS + _F_ROWS + " SELECT feature, round(score, 4) AS score FROM f_scores ORDER BY f_scores.score DESC LIMIT 4")
+@query("m7_f_statistic_k_best", SQL_OBS + _F_ROWS + " SELECT feature, round(score, 4) AS score FROM f_scores ORDER BY f_scores.score DESC LIMIT 4")
 def m7(spark, sf_dir):
     selector = FS.FeatureSelector("f_regression", k=4).fit(observed(spark, sf_dir), SCORED_FEATURES, "cos_theta_star")
     best = selector.ranking().where(F.col("feature").isin(selector.selected))
     return rounded(best, 4)
 
 
-@query("m10_feature_ranking", SQL_DIJETS + _F_ROWS + " SELECT feature, round(score, 4) AS score, rank() OVER (ORDER BY f_scores.score DESC) AS pos FROM f_scores")
+@query("m10_feature_ranking", SQL_OBS + _F_ROWS + " SELECT feature, round(score, 4) AS score, rank() OVER (ORDER BY f_scores.score DESC) AS pos FROM f_scores")
 def m10(spark, sf_dir):
     selector = FS.FeatureSelector("f_regression", k=4).fit(observed(spark, sf_dir), SCORED_FEATURES, "cos_theta_star")
     ranked = selector.ranking()
@@ -718,7 +718,7 @@ def _mi_sql() -> str:
         for f in SCORED_FEATURES
     )
     return (
-        SQL_DIJETS
+        SQL_OBS
         + f", steady AS (SELECT {sql_round(names, 9)} FROM obs), edges AS (SELECT {edges} FROM steady), "
         f"bucketed AS (SELECT {buckets} FROM steady, edges), cells AS ({cells}), "
         "marg AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bx) AS nx, "
