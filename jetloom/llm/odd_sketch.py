@@ -22,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ SKETCH_WORDS = SKETCH_BITS // 64
 #: (smallest set size, bins per permutation): at least four shingles a bin from the second class on.
 CLASSES = ((1, 1), (16, 4), (64, 16), (256, 64), (768, 192))
 #: Members compared with each other in one task of the second search.
-BLOCK = 1024
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -62,29 +61,37 @@ def minhash(shingles: np.ndarray, layout: int) -> np.ndarray:
     out = np.full((SAMPLES // bins, bins), np.iinfo(np.uint64).max, np.uint64)
     for k in range(len(out)):
         # Tag permutations by layout so that classes never share a value by accident.
-        mixed = split_mix(shingles ^ np.uint64(0xA0761D6478BD642F * (k + 1 + 1000 * layout) % (1 << 64)))
+        mixed = (shingles ^ np.uint64(0xA0761D6478BD642F * (k + 1 + 1000 * layout) % (1 << 64))) * np.uint64(0x9FB21C651E98DF25)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
         if bins == 1:
             out[k, 0] = mixed.min()
             continue
-        place = (mixed >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
-        np.minimum.at(out[k], place.astype(np.intp), split_mix(mixed))
+        # The bin is the leading part of the hash, so sorting brings every bin's minimum to its front.
+        mixed.sort()
+        place = ((mixed >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.intp)
+        front = np.flatnonzero(place[1:] != place[:-1]) + 1
+        out[k, place[0]] = mixed[0]
+        out[k, place[front]] = mixed[front]
     return out.ravel()
 
 
-def band_keys(samples: np.ndarray, layout: int) -> np.ndarray:
-    """One 64-bit key per band of samples."""
-    grid = samples.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + BANDS * layout)
+def band_keys(samples: np.ndarray, layouts: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band and row of the table of samples."""
+    grid = samples.reshape(-1, BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)[None, :] + (1 + BANDS * layouts.astype(np.uint64))[:, None]
     for r in range(ROWS):
-        key = split_mix(key ^ grid[:, r]) + np.uint64(r)
+        key = split_mix(key ^ grid[:, :, r]) + np.uint64(r)
     return key.view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the numbered samples, as 64-bit words."""
-    spot = split_mix(samples + np.arange(len(samples), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(spot.astype(np.intp), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    """Parity bitmap of the numbered samples of every row, as 64-bit words."""
+    n = len(samples)
+    spot = split_mix(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
+    spot = spot.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
+    odd = np.bincount(spot.ravel(), minlength=n * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(n, SKETCH_WORDS)
 
 
 def most_differing(percent: int) -> int:
@@ -110,31 +117,43 @@ SIGNATURE = (
 )
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, max(width, 1))[: n + 1], pa.int32()), pa.array(rows.ravel()))
+
+
 def _sign(plan: NearPlan):
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in chunks(offsets):
                 words = words_of(data, offsets[lo : hi + 1])
-                rows = []
+                size = np.zeros(hi - lo, np.int64)
+                identity = np.zeros((hi - lo, 2), np.uint64)
+                counts, layouts, samples = [0], [], []
                 for d in range(hi - lo):
                     shingles = distinct_shingles(words, d, plan.width)
-                    n = len(shingles)
-                    if not n:
-                        rows.append((0, None, None, []))
-                        continue
-                    mixed = split_mix(shingles)
-                    identity = np.array([mixed.sum(dtype=np.uint64) + np.uint64(n), np.bitwise_xor.reduce(split_mix(mixed))]).view(np.int64)
-                    signed = []
-                    for layout in size_classes(n, plan.percent):
-                        samples = minhash(shingles, layout)
-                        signed.append({"layout": layout, "bands": band_keys(samples, layout), "sketch": odd_sketch(samples)})
-                    rows.append((n, int(identity[0]), int(identity[1]), signed))
-                kind = pa.list_(pa.struct([("layout", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]))
+                    size[d] = n = len(shingles)
+                    if n:
+                        mixed = split_mix(shingles)
+                        identity[d] = mixed.sum(dtype=np.uint64) + np.uint64(n), np.bitwise_xor.reduce(mixed * (mixed | np.uint64(1)))
+                        for layout in size_classes(n, plan.percent):
+                            layouts.append(layout)
+                            samples.append(minhash(shingles, layout))
+                    counts.append(len(layouts))
+                table = np.array(samples, np.uint64).reshape(-1, SAMPLES)
+                kinds = np.array(layouts, np.int32)
+                signed = pa.StructArray.from_arrays(
+                    [pa.array(kinds), _lists(band_keys(table, kinds)), _lists(odd_sketch(table))], ["layout", "bands", "sketch"]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], kind)],
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(size),
+                        *(pa.array(identity[:, k].view(np.int64), mask=size == 0) for k in range(2)),
+                        pa.ListArray.from_arrays(pa.array(counts, pa.int32()), signed),
+                    ],
                     ["doc_id", "n_shingles", "set_a", "set_b", "signatures"],
-                )
+                )
 
     return run
 
@@ -153,6 +172,14 @@ def _shingle_sets(plan: NearPlan):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The link rule on two sorted sets."""
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(percent: int):
     """Pairs whose full sets satisfy the link rule."""
 
@@ -161,10 +188,7 @@ def _confirm(percent: int):
             a, b, left, right = batch.columns
             good = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                x, y = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (left, right))
-                both = np.sort(np.concatenate((x, y)))
-                shared = int((both[1:] == both[:-1]).sum())
-                good[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
+                good[k] = linked(*(np.frombuffer(c[k].as_buffer(), np.uint64) for c in (left, right)), percent)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
@@ -184,28 +208,45 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _search_block(percent: int):
-    """All promising pairs of different components between the two sides of a block."""
+    """Links between different components of the two sides of a block, as many as it takes to join them.
+
+    A pair is looked at in the first band that its two members share and only while no link found here has joined
+    them, so a block returns fewer links than it has members.
+    """
     most = most_differing(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        left, right = frame[frame["side"] <= 1], frame[frame["side"] >= 1]
-        same = bool((frame["side"] == 1).all())
-        # One sketch per component: members of equal sketch, size and component meet others alike, but all must be tried.
-        sketch = np.array(right["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(right), SKETCH_WORDS)
-        ids, comp, n = (right[c].to_numpy() for c in ("id", "component", "n"))
-        found_a, found_b = [], []
-        for k, (i, c, size, own) in enumerate(zip(left["id"], left["component"], left["n"], left["sketch"], strict=True)):
-            start = k + 1 if same else 0
-            own = np.asarray(own, np.int64).view(np.uint64)
-            ok = (comp[start:] != c) & (100 * np.minimum(n[start:], size) >= percent * np.maximum(n[start:], size))
-            ok &= ids[start:] != i
-            at = np.flatnonzero(ok) + start
-            at = at[np.bitwise_count(sketch[at] ^ own).sum(axis=1) <= most]
-            found_a.extend([i] * len(at))
-            found_b.extend(ids[at].tolist())
-        a, b = np.minimum(found_a, found_b), np.maximum(found_a, found_b)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        table = table.combine_chunks()
+        ids, comp, n, side = (table[c].to_numpy() for c in ("id", "component", "n", "side"))
+        band = table["band"][0].as_py()
+        rows = len(ids)
+        matrix = lambda c, w: table[c].combine_chunks().flatten().to_numpy().reshape(rows, w)
+        sketch, bands = matrix("sketch", SKETCH_WORDS).view(np.uint64), matrix("bands", BANDS)
+        shingles = table["shingles"].combine_chunks()
+        own_band = int(np.flatnonzero(bands[0] == band)[0])
+        right = np.flatnonzero(side >= 1)
+        parent = {int(c): int(c) for c in np.unique(comp)}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found: list[tuple[int, int]] = []
+        for k in np.flatnonzero(side <= 1):
+            at = right[right > k] if side[k] == 1 else right
+            at = at[(comp[at] != comp[k]) & (100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k]))]
+            at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most]
+            at = at[~(bands[at, :own_band] == bands[k, :own_band]).any(axis=1)]
+            if len(at):
+                mine = np.frombuffer(shingles[int(k)].as_buffer(), np.uint64)
+            for m in at:
+                here, there = root(int(comp[k])), root(int(comp[m]))
+                if here != there and linked(mine, np.frombuffer(shingles[int(m)].as_buffer(), np.uint64), percent):
+                    parent[max(here, there)] = min(here, there)
+                    found.append((int(ids[k]), int(ids[m])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -238,12 +279,15 @@ class NearDuplicates:
             .select("a", "b").distinct()
         )
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that satisfy the link rule on full sets; only texts in a pair are shingled again."""
-        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
+    def _shingles(self, ids: DataFrame) -> DataFrame:
+        """``(id, shingles)`` of the given ids; only their texts are shingled again."""
         wanted = KeyBitmap(ids, "id")
         texts = self.docs.filter(wanted.admits("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        sets = staged(texts.mapInArrow(_shingle_sets(self.plan), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+        return staged(texts.mapInArrow(_shingle_sets(self.plan), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that satisfy the link rule on full sets."""
+        sets = self._shingles(staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired"))
         return (
             pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
@@ -252,44 +296,47 @@ class NearDuplicates:
         )
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """``(vertices, links)``: representatives, and confirmed links that connect every component."""
+        """``(labels, links)``: a first component of every representative, and links that complete the components."""
         reps = staged(self.representatives(), "representatives")
-        sketches = reps.select("id", "layout", "n", "sketch")
-        vertices = reps.select("id").distinct()
         bands = reps.select("id", F.col("layout").cast("byte").alias("layout"), F.explode("bands").alias("band"))
         shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
         met = staged(bands.join(shared, "band").filter("id != pivot"), "buckets")
         first = met.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "layout").distinct()
-        links = staged(self._confirmed(staged(self._promising(first, sketches), "promising")), "confirmed")
-        labels = connected_labels(vertices, links)
-        rest = self._between_components(met, labels, sketches)
-        more = staged(self._confirmed(staged(rest, "promising")), "confirmed")
-        return labels, links.unionByName(more)
+        links = staged(self._confirmed(staged(self._promising(first, reps), "promising")), "confirmed")
+        labels = connected_labels(reps.select("id").distinct(), links)
+        return labels, self._between_components(met, labels, reps)
 
-    def _between_components(self, met: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Promising pairs of bucket members that the pivots left in different components.
+    def _between_components(self, met: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+        """Links among bucket members that the pivots left in different components.
 
         Pairs with the pivot are settled already. A bucket of many members is cut into blocks by id hash and every pair
         of blocks is one group, so a group holds two blocks whatever the bucket's size.
         """
         open_ = met.filter("members > 2").join(labels, "id").select("band", "layout", "id", "component", "members")
         torn = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
-        rows = open_.join(torn, "band", "left_semi").join(sketches, ["id", "layout"])
+        rows = staged(open_.join(torn, "band", "left_semi"), "torn")
+        sets = self._shingles(staged(rows.select("id").distinct(), "torn-ids"))
         blocks = F.ceil(F.col("members") / BLOCK)
         own = F.pmod(F.xxhash64("id", F.lit("block")), blocks)
         dealt = rows.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select(
+        dealt = dealt.join(reps, ["id", "layout"]).join(sets, "id").select(
             "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"),
-            "id", "component", "n", "sketch",
+            "id", "component", "n", "sketch", "bands", "shingles",
         )
-        return dealt.groupBy("band", "i", "j").applyInArrow(_search_block(self.plan.percent), "a long, b long").distinct()
+        return staged(dealt.groupBy("band", "i", "j").applyInArrow(_search_block(self.plan.percent), "a long, b long"), "between")
 
     def components(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)`` of every document."""
         labels, links = self.links()
-        labels = connected_labels(labels.select("id"), links)
-        named = self.classes.join(labels, "id").select("set_a", "set_b", "component")
+        # The links run between documents of known components: join those components.
+        ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("c")), "a").join(
+            labels.select(F.col("id").alias("b"), F.col("component").alias("d")), "b"
+        ).select(F.col("c").alias("a"), F.col("d").alias("b"))
+        merged = connected_labels(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct(), ends)
+        above = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        final = labels.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+        named = self.classes.join(final, "id").select("set_a", "set_b", "component")
         component = F.coalesce("component", "doc_id")
         return self.signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select(
             "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
