@@ -9,12 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jetloom.llm.compression_toxicity import drop_toxic
 from jetloom.llm.cuckoo import keep_first
+from jetloom.llm.decontaminate import drop_leaks
 from jetloom.llm.mixing import mix
 from jetloom.llm.odd_sketch import keep_smallest
 from jetloom.llm.staging import staged
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
     return keep_first(docs)
@@ -25,14 +32,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_smallest(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often the mix repeats every document that is left."""
     return mix(docs)
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("exact dedup", drop_copies),
     ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from jetloom.llm import block_labeller, compression_toxicity, factorization, semimarkov, warc
+from jetloom.llm.compression_toxicity import held_out
 from jetloom.llm.cuckoo import exact_groups
+from jetloom.llm.decontaminate import leaks
 from jetloom.llm.mixing import mix
 from jetloom.llm.odd_sketch import near_components
+from jetloom.llm.repeats import repeats
+from jetloom.llm.text import SPACE_REGEX
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +26,11 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op2_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the passages."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -30,22 +41,96 @@ def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = compression_toxicity.score(docs, compression_toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+def op7_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the byte strings that occur twice."""
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_factorization_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = factorization.score(docs, factorization.fit_on(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op9_block_lstm_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return block_labeller.extract(pages, block_labeller.fit_on(pages))
+
+
+def op10_semimarkov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return semimarkov.find(docs, semimarkov.fit_on(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_cube_mix": op1_cube_mix,
-    "op3_cuckoo_dedup": op3_cuckoo_dedup,
-    "op4_odd_sketch_dedup": op4_odd_sketch_dedup,
-}
+    fn.__name__: fn
+    for fn in (
+        op1_cube_mix, op2_spaced_seed_leaks, op3_cuckoo_dedup, op4_odd_sketch_dedup, op5_compression_toxicity,
+        op6_warc_derivatives, op7_lyndon_repeats, op8_factorization_quality, op9_block_lstm_extract, op10_semimarkov_pii,
+    )
+}
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _warc_sql() -> str:
+    def name(*parts: str) -> str:
+        h = f"sha256(concat_ws('|', {', '.join(parts)}))"
+        return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-8' || {h}[13:15] || '-8' || {h}[16:18] || '-' || {h}[19:30] || '>'"
+
+    text = f"regexp_replace(regexp_replace(regexp_replace(payload, {_sql_text(warc._SILENT)}, ' ', 'g'), '{SPACE_REGEX}', ' ', 'g'), {_sql_text(warc._BREAKS)}, chr(10), 'g')"
+    text = f"regexp_replace({text}, {_sql_text(warc._TAGS)}, '', 'g')"
+    for reference, char in warc._REFERENCES:
+        text = f"replace({text}, {_sql_text(reference)}, {_sql_text(char)})"
+    text = rf"regexp_replace(regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    crlf = "chr(13) || chr(10)"
+    return f"""
+        WITH r AS (
+            SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
+        ), s AS (
+            SELECT *, 'sha256:' || sha256(payload) AS payload_digest, strlen(payload) AS size,
+                   {name("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri", "'sha256:' || sha256(payload)")} AS refers_to
+            FROM r
+        ), d AS (
+            SELECT page_id, target_uri, payload_digest, refers_to, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+                   'source-payload-digest: ' || payload_digest || {crlf} || 'source-payload-length: ' || size || {crlf}
+                   || 'http-header: HTTP/1.1 200 OK' || {crlf} || 'http-header: Content-Type: text/html; charset=utf-8' || {crlf}
+                   || 'http-header: Content-Length: ' || size || {crlf} AS block
+            FROM s
+            UNION ALL
+            SELECT page_id, target_uri, payload_digest, refers_to, 'conversion', 'text/plain; charset=utf-8', {text} FROM s
+        )
+        SELECT page_id, record_type, {name("record_type", "refers_to")} AS record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS date,
+               content_type, block, 'sha256:' || sha256(block) AS block_digest, payload_digest, strlen(block)::BIGINT AS content_length
+        FROM d
+    """
 
-#: The white space of the contracts, escaped for a DuckDB pattern.
-_SPACE = r"[\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_cuckoo_dedup": f"""
         WITH t AS (
-            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACE_REGEX}', ' ', 'g')) AS text_sha256 FROM documents
         )
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op6_warc_derivatives": _warc_sql(),
 }
