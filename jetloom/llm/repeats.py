@@ -129,23 +129,37 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _shared_lengths(strings: list[bytes]) -> tuple[list[int], int]:
-    """Of each string the longest prefix it shares with another one, and the prefix all share."""
-    if len(strings) == 1:
-        return [0], 0
+def _common_with_next(strings: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """Sorted order of the strings and the common prefix of each with the next one in it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
     width = max(1, max(map(len, strings)))
     grid = np.zeros((len(strings), width + 1), np.int16)
-    for k, s in enumerate(strings):
-        grid[k, : len(s)] = np.frombuffer(s, np.uint8)
-        grid[k, : len(s)] += 1
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    sorted_ = grid[order]
-    alike = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] > 0)
-    lcp = np.where(alike.all(axis=1), width, alike.argmin(axis=1))
-    out = [0] * len(strings)
     for slot, k in enumerate(order):
-        out[k] = int(max(lcp[slot - 1] if slot else 0, lcp[slot] if slot < len(lcp) else 0))
-    return out, int(lcp.min())
+        own = strings[k]
+        grid[slot, : len(own)] = np.frombuffer(own, np.uint8)
+        grid[slot, : len(own)] += 1
+    alike = (grid[1:] == grid[:-1]) & (grid[1:] > 0)
+    return order, alike.argmin(axis=1)
+
+
+def _longest_shared(order: list[int], lcp: np.ndarray) -> np.ndarray:
+    """Of each string the longest prefix that another one has too."""
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(np.concatenate((lcp, [0])), np.concatenate(([0], lcp)))
+    return out
+
+
+def _pieces(strings: list[bytes]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefixes as runs of pieces: ``(shared by all, ends of the pieces, class of each string up to each end, longest shared)``.
+
+    Two strings that agree beyond one end agree up to the next, so pieces stand for their bytes.
+    """
+    order, lcp = _common_with_next(strings)
+    shared = int(lcp.min())
+    ends = np.unique(lcp[lcp > shared])
+    classes = np.zeros((len(ends), len(strings)), np.int64)
+    classes[:, order] = np.concatenate((np.zeros((len(ends), 1), np.int64), np.cumsum(lcp[None, :] < ends[:, None], axis=1)), axis=1)
+    return shared, ends, classes, _longest_shared(order, lcp)
 
 
 def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length: int) -> list[tuple[int, int] | None]:
@@ -154,41 +168,51 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length:
     A string of ``length`` bytes that starts ``l`` bytes before the core and holds it is repeated when another context
     has the same ``l`` bytes to the left and the same rest to the right.
     """
-    left_most, left_all = _shared_lengths([s[::-1] for s in lefts])
-    right_most, right_all = _shared_lengths(rights)
     need = length - core
-    open_ = [k for k in range(len(lefts)) if left_most[k] + right_most[k] >= need]
     out: list[tuple[int, int] | None] = [None] * len(lefts)
+    if len(lefts) < 2:
+        return out
+    outward = [s[::-1] for s in lefts]
+    reach = _longest_shared(*_common_with_next(outward)) + _longest_shared(*_common_with_next(rights))
+    open_ = np.flatnonzero(reach >= need).tolist()
     if len(open_) < 2:
         return out
-    # One symbol stands for the core and what all contexts share around it.
+    left_all, left_ends, left_class, left_most = _pieces([outward[k] for k in open_])
+    right_all, right_ends, right_class, right_most = _pieces([rights[k] for k in open_])
+    n_left = np.searchsorted(left_ends, left_most, side="right")
+    n_right = np.searchsorted(right_ends, right_most, side="right")
+    # A context is its left pieces, one symbol for the core with what all share around it, its right pieces, an end mark.
+    many = len(open_)
+    left_symbol = (left_class + np.arange(len(left_ends))[:, None] * many).T.tolist()
+    right_symbol = (right_class + (len(left_ends) + np.arange(len(right_ends)))[:, None] * many).T.tolist()
+    middle_symbol = (len(left_ends) + len(right_ends)) * many
     symbols: list[int] = []
     middle: list[int] = []
-    for mark, k in enumerate(open_):
-        left = lefts[k][len(lefts[k]) - left_most[k] : len(lefts[k]) - left_all]
-        right = rights[k][right_all : right_most[k]]
-        symbols += [b + 1 for b in left]
+    for m in range(many):
+        symbols += left_symbol[m][: n_left[m]][::-1]
         middle.append(len(symbols))
-        symbols.append(257)
-        symbols += [b + 1 for b in right]
-        symbols.append(258 + mark)
+        symbols.append(middle_symbol)
+        symbols += right_symbol[m][: n_right[m]]
+        symbols.append(middle_symbol + 1 + m)
     order = suffix_array(symbols)
-    lcp = common_prefixes(symbols, order)
+    lcp = [*common_prefixes(symbols, order), 0]
     best = [0] * len(symbols)
     for slot, i in enumerate(order):
-        best[i] = max(lcp[slot], lcp[slot + 1] if slot + 1 < len(order) else 0)
-    for m, k in zip(middle, open_, strict=True):
-        farthest, nearest = -1, length
-        reach = right_all + best[m] - 1
-        if best[m] and left_all + reach >= need:
-            farthest, nearest = left_all, max(0, need - reach)
-        for more in range(1, left_most[k] - left_all + 1):
-            same = best[m - more]
-            if same > more and left_all + more + right_all + same - more - 1 >= need:
-                farthest = max(farthest, left_all + more)
-                nearest = min(nearest, left_all + more)
-        if farthest >= 0:
-            out[k] = min(farthest, need), nearest
+        best[i] = max(lcp[slot], lcp[slot + 1])
+    left_reach, right_reach = [left_all, *left_ends.tolist()], [right_all, *right_ends.tolist()]
+    for m, k in enumerate(open_):
+        far, near = -1, length
+        for pieces in range(int(n_left[m]) + 1):
+            same = best[middle[m] - pieces]
+            if same <= pieces:
+                continue
+            # Starts beyond the last but one end, up to this one, meet the same contexts.
+            top, rest = left_reach[pieces], right_reach[same - pieces - 1]
+            first = max(left_reach[pieces - 1] + 1 if pieces else 0, need - rest)
+            if first <= top:
+                far, near = max(far, top), min(near, first)
+        if far >= 0:
+            out[k] = far, near
     return out
 
 
