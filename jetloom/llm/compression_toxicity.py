@@ -131,15 +131,32 @@ def _train(samples: list[bytes], size: int) -> bytes:
 
 
 class _DocWords:
-    """The words of each document with a leading blank, cut out on demand."""
+    """The words of each document with a leading blank, cut out on demand; hashes are made in chunks and dropped."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.words = words_of(data, offsets, breaks=IS_PUNCTUATION)
-        self.raw = data[offsets[0] : offsets[-1]].tobytes()
+        self.data, self.spans = data, []
+        for lo, hi in chunks(offsets):
+            words = words_of(data, offsets[lo : hi + 1], breaks=IS_PUNCTUATION)
+            for d in range(hi - lo):
+                own = slice(words.first[d], words.first[d + 1])
+                self.spans.append((words.start[own] + offsets[lo], words.end[own] + offsets[lo]))
 
     def __getitem__(self, d: int) -> list[bytes]:
-        span = slice(self.words.first[d], self.words.first[d + 1])
-        return [b" " + self.raw[a:b] for a, b in zip(self.words.start[span].tolist(), self.words.end[span].tolist(), strict=True)]
+        start, end = self.spans[d]
+        if not len(start):
+            return []
+        first = int(start[0])
+        raw = self.data[first : end[-1]].tobytes()
+        return [b" " + raw[a - first : b - first] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def _least_shingles(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Smallest five-word shingle hash of each text: equal for copies, mostly equal for near copies."""
+    out = []
+    for lo, hi in chunks(offsets):
+        words = words_of(data, offsets[lo : hi + 1])
+        out += [int(g.min()) if len(g := gram_hashes(words.of(d), 5)) else 0 for d in range(hi - lo)]
+    return out
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, prior: float, plan: ToxicityPlan = ToxicityPlan()) -> ToxicityModel:
@@ -148,10 +165,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float, plan: ToxicityPlan = T
     data = LOWER[data]
     words = _DocWords(data, offsets)
     # Copies and near copies of one text are one piece of evidence: of equal least shingles the first text counts.
-    tokens = words_of(data, offsets)
-    least = [int(g.min()) if len(g := gram_hashes(tokens.of(d), 5)) else 0 for d in range(len(toxic))]
     first = np.zeros(len(toxic), bool)
-    first[np.unique(least, return_index=True)[1]] = True
+    first[np.unique(_least_shingles(data, offsets), return_index=True)[1]] = True
     half = (np.arange(len(toxic)) % 2 == 0) & first
     if not (half & toxic).any() or not (half & ~toxic).any():
         half = first
@@ -181,7 +196,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float, plan: ToxicityPlan = T
         toxic_content = _train(toxic_samples, plan.toxic_bytes)
     model = ToxicityModel(_train(plain_samples or [b" "], plan.dictionary_bytes) or b" ", toxic_content or b" ", np.zeros(FEATURES), 0.0, plan.threshold)
     rest = ~half if (~half & toxic).any() and (~half & ~toxic).any() else np.ones(len(toxic), bool)
-    features = model.features(data, offsets)[rest]
+    parts = [model.features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets)]
+    features = np.concatenate(parts)[rest]
     model.weights, model.bias = _logistic(features, toxic[rest].astype(float), prior)
     return model
 
