@@ -27,7 +27,7 @@ from jetloom.llm.staging import KeyBitmap, narrow, staged
 from jetloom.llm.text import chunks, prefix_hash, range_hash, text_bytes
 
 #: Different contexts of a core that one group may hold.
-MEMBERS = 2000
+MEMBERS = 20_000
 #: Splits of the range of window starts: two rounds lead from 201 starts to single ones.
 WAYS = 16
 
