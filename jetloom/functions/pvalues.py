@@ -54,11 +54,23 @@ def beta_fraction(a: float, b: float, x: float) -> float:
     return front * value / a
 
 
+#: Degrees of freedom above which the t distribution is replaced by the corrected normal.
+LARGE_DOF = 1_000_000
+
+
 def correlation_pvalue_of(r: float, n: int) -> float:
     """Two-sided p-value of a correlation coefficient over ``n`` pairs."""
     if n is None or r is None or math.isnan(r) or n < 3:
         return float("nan")
     dof = n - 2
+    if dof > LARGE_DOF:
+        # The beta fraction loses digits here; the normal tail with its 1/dof term does not.
+        if abs(r) >= 1.0:
+            return 0.0
+        t = abs(r) * math.sqrt(dof / ((1.0 - r) * (1.0 + r)))
+        if t * t > 0.1 * dof:
+            return 0.0
+        return math.erfc(t * (1.0 - (t * t + 1.0) / (4.0 * dof)) / math.sqrt(2.0))
     # t = r*sqrt(dof/(1-r^2)), so dof/(dof+t^2) is exactly 1-r^2.
     return beta_fraction(dof / 2.0, 0.5, max(0.0, 1.0 - r * r))
 

@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jetloom.functions.kinematics import nan_low
 from jetloom.functions.pvalues import chi2_quantile
 from jetloom.operators.distribution import exact_quantiles
 from jetloom.operators.scaling import FeatureScaler, ScalerFit
@@ -277,7 +278,8 @@ class AnomalyDetector:
     def detect(self, rows: DataFrame, score: str = "anomaly_score", flag: str = "is_anomaly") -> DataFrame:
         """Add the score and the outlier flag to every row.
 
-        Isolation scores are reported relative to the threshold (positive = anomalous).
+        Isolation scores are reported relative to the threshold (positive = anomalous). A row
+        without a score (a NULL or NaN feature) is not flagged.
         """
         if self.threshold is None:
             raise ValueError("detector is not trained yet: call fit first")
@@ -286,7 +288,7 @@ class AnomalyDetector:
         if self.method == "isolation_forest":
             shown = shown - F.lit(self.threshold)
         return raw.withColumns(
-            {score: shown, flag: F.col("_raw_score") > F.lit(self.threshold)}
+            {score: shown, flag: F.coalesce(nan_low("_raw_score") > F.lit(self.threshold), F.lit(False))}
         ).drop("_raw_score")
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -72,8 +72,9 @@ def density_histogram(df: DataFrame, columns: Sequence[str], n_bins: int = 50) -
     """Equal-width density histogram of each column over its own range, last bin closed.
 
     Bins run over [min, max] per series (a constant series gets a unit-wide range) and
-    empty bins are listed.
+    empty bins are listed. NULL and NaN belong to no bin and no total.
     """
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
     limits = df.agg(
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
@@ -92,7 +93,8 @@ def density_histogram(df: DataFrame, columns: Sequence[str], n_bins: int = 50) -
     def bin_of(c: str) -> Column:
         lo, hi = ranges[c]
         offset = F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit((hi - lo) / n_bins))
-        return F.least(offset, F.lit(n_bins - 1).cast("bigint"))
+        # ``least`` skips NULL, so a missing value would land in the last bin.
+        return F.when(F.col(c).isNotNull(), F.least(offset, F.lit(n_bins - 1).cast("bigint")))
 
     filled = (
         df.select(*[bin_of(c).alias(c) for c in ranges])

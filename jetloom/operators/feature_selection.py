@@ -39,7 +39,10 @@ def _edges(df: DataFrame, columns: Sequence[str], bins: int, ranges: int | None)
 
 
 def _bucket(x: Column, edges: list[float]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= x))
+    """Quantile bucket; NULL and NaN, and columns without any value, have none."""
+    if not edges or any(e is None for e in edges):
+        return F.lit(None).cast("int")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= x)))
 
 
 def mutual_information_scores(
@@ -57,6 +60,7 @@ def mutual_information_scores(
     )
     cells = (
         bucketed.unpivot(["_y"], list(features), "feature", "_x")
+        .where("_x IS NOT NULL AND _y IS NOT NULL")
         .groupBy("feature", "_x", "_y")
         .agg(F.count(F.lit(1)).alias("n"))
     )

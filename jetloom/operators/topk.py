@@ -11,7 +11,7 @@ ACCURACY = 100_000
 
 
 def first_by_key(df: DataFrame, key: str, size: int, total: int | None = None) -> DataFrame:
-    """Exactly the ``size`` rows with the smallest keys.
+    """Exactly the ``size`` rows with the smallest keys; NULL keys come after all others at every size.
 
     Spark's ordered limit sends ``size`` rows of every input partition to one task. On a
     long table the key is first bounded by an approximate quantile that keeps at least
@@ -26,4 +26,4 @@ def first_by_key(df: DataFrame, key: str, size: int, total: int | None = None) -
         if kept < size or kept >= total:
             break
         df, total = narrowed, kept
-    return df.orderBy(key).limit(size)
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(size)
