@@ -31,6 +31,8 @@ VOTING = ("majority", "unanimous", "any")
 CONTAMINATION = 0.05
 TREES = 100
 SAMPLE_SIZE = 256
+TICKETS = 1 << 62
+BOTH = "iso_forest_anomaly AND reconstruction_anomaly"
 CODE_SIZE = 8
 MAX_C_STEPS = 10
 
@@ -68,27 +70,27 @@ def _upper_quantile(scores: DataFrame, column: str, q: float) -> float:
 def draw_tree_samples(
     rows: DataFrame, features: Sequence[str], key: str, trees: int, size: int, seed: int
 ) -> DataFrame:
-    """(tree, key, features): up to ``size`` hash-chosen rows for each tree.
+    """(tree, key, features): for each tree the ``size`` rows with its smallest tickets.
 
-    A long table deals every row to one tree (disjoint samples, one hash per row); a
-    short one offers every row to every tree. The ranked window keeps at most ``size``
-    rows per tree on each input partition before anything is shuffled.
+    A ticket hashes the row and the tree: every tree draws from all rows, and a row may
+    serve several trees, at any table length. Tickets above a bound that about four times
+    the wanted rows stay below are dropped before a row is repeated per tree. The bound
+    saves work and does not change the draw.
     """
-    n = rows.count()
     columns = rows.select(key, *features)
-    plenty = trees * size * 4
-    if n >= plenty:
-        tree = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(trees).cast("bigint"))
-        # Thin to about 4 x size rows per tree before ranking; the draw is uniform.
-        uniform = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(1_000_000).cast("bigint"))
-        share = min(1.0, plenty / n)
-        offered = columns.withColumn("tree", tree.cast("int")).where(uniform < math.ceil(share * 1_000_000))
-    else:
-        offered = columns.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    lottery = F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))
+    expected = 4 * size + 64
+    bound = int(TICKETS * min(1.0, expected / max(rows.count(), 1)))
+
+    def ticket(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(key, *features, tree, F.lit(seed)), F.lit(TICKETS).cast("bigint"))
+
+    offers = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), ticket(t).alias("ticket"))
+    )
     first = Window.partitionBy("tree").orderBy("_ticket", key, *features)
     return (
-        offered.withColumn("_ticket", lottery)
+        columns.withColumn("_offer", F.explode(F.filter(offers, lambda o: o["ticket"] < F.lit(bound))))
+        .select(key, *features, F.col("_offer.tree").alias("tree"), F.col("_offer.ticket").alias("_ticket"))
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= size)
         .drop("_ticket", "_rank")
@@ -136,7 +138,7 @@ def grow_trees(
         "tree int, split array<int>, cut array<double>, left array<int>, right array<int>, size array<int>"
     )
     grown = samples.groupBy("tree").applyInPandas(grow, layout)
-    # At most TREES rows of at most 2 * SAMPLE_SIZE nodes each.
+    # One row per tree, of at most twice the sample size in nodes.
     return [row.asDict() for row in grown.orderBy("tree").collect()]
 
 
@@ -249,7 +251,10 @@ def robust_covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndar
 
 
 class AnomalyDetector:
-    """Fit on presumed ordinary events, then flag the contamination share's outliers."""
+    """Fit on presumed ordinary events, then flag the contamination share's outliers.
+
+    ``trees`` and ``sample_size`` (rows a tree is grown from) are the isolation forest's.
+    """
 
     def __init__(
         self,
@@ -257,10 +262,13 @@ class AnomalyDetector:
         contamination: float = CONTAMINATION,
         seed: int = 42,
         key: str = "event_id",
+        trees: int = TREES,
+        sample_size: int = SAMPLE_SIZE,
     ):
         if method not in METHODS:
             raise ValueError(f"Unknown anomaly detection method: {method}")
         self.method, self.contamination, self.seed, self.key = method, contamination, seed, key
+        self.trees, self.sample_size = trees, sample_size
         self.scaler: ScalerFit | None = None
         self.features: list[str] = []
         self.threshold: float | None = None
@@ -373,9 +381,8 @@ class AnomalyDetector:
         return _sum_squares(_times(leftover, z)) / F.lit(float(len(self.features)))
 
     def _fit_isolation_forest(self, train: DataFrame) -> dict[str, float]:
-        scaled = self.scaler.transform(train)
-        samples = draw_tree_samples(scaled, self.features, self.key, TREES, SAMPLE_SIZE, self.seed)
-        self._trees = grow_trees(samples, self.features, self.key, self.seed)
+        samples = draw_tree_samples(train, self.features, self.key, self.trees, self.sample_size, self.seed)
+        self._trees = grow_trees(self.scaler.transform(samples), self.features, self.key, self.seed)
         self._sample_size = max(t["size"][0] for t in self._trees)
         return {"n_estimators": len(self._trees)}
 
@@ -447,15 +454,36 @@ def anomaly_rate(rows: DataFrame, flag: str = "is_anomaly") -> DataFrame:
 
 
 def compare_detectors(first: DataFrame, second: DataFrame, key: str = "event_id") -> DataFrame:
-    """Join two detectors' outputs on the event id and flag what both call anomalous."""
-    a = first.select(
-        key, F.col("anomaly_score").alias("iso_forest_score"), F.col("is_anomaly").alias("iso_forest_anomaly")
-    )
-    b = second.select(
+    """Join two stored score tables on the event id and flag what both call anomalous.
+
+    The id must be unique in each table: one held k times would pair with itself k x k
+    times, so it fails the job. :func:`detect_both` has no such limit.
+    """
+
+    def unique(scores: DataFrame, score: str, flag: str) -> DataFrame:
+        single = F.count(F.lit(1)) == 1
+        repeated = F.raise_error(F.concat(F.lit("repeated id in a score table: "), F.col(key).cast("string")))
+        return scores.where(F.col(key).isNotNull()).groupBy(key).agg(
+            F.first("anomaly_score").alias(score),
+            F.when(single, F.first("is_anomaly")).otherwise(repeated.cast("boolean")).alias(flag),
+        )
+
+    a = unique(first, "iso_forest_score", "iso_forest_anomaly")
+    b = unique(second, "reconstruction_error", "reconstruction_anomaly")
+    return a.join(b, key).withColumn("both_anomaly", F.expr(BOTH))
+
+
+def detect_both(
+    first: AnomalyDetector, second: AnomalyDetector, rows: DataFrame, key: str = "event_id"
+) -> DataFrame:
+    """Two detectors' outputs on the same rows, side by side: no join, repeated ids stay."""
+    seen = first.detect(rows, "iso_forest_score", "iso_forest_anomaly")
+    seen = second.detect(seen, "reconstruction_error", "reconstruction_anomaly")
+    return seen.select(
         key,
-        F.col("anomaly_score").alias("reconstruction_error"),
-        F.col("is_anomaly").alias("reconstruction_anomaly"),
-    )
-    return a.join(b, key).withColumn(
-        "both_anomaly", F.col("iso_forest_anomaly") & F.col("reconstruction_anomaly")
+        "iso_forest_score",
+        "iso_forest_anomaly",
+        "reconstruction_error",
+        "reconstruction_anomaly",
+        F.expr(BOTH).alias("both_anomaly"),
     )

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from jetloom.functions.pvalues import correlation_pvalue, kolmogorov_pvalue
 from jetloom.session import stage
 
-# A value held by at least 1/HOT_SHARE of the rows is hot; there are at most HOT_SHARE.
+# A value held by at least 1/HOT_SHARE of the rows (or a quarter of a fair share of a
+# partition, where that is less) is hot; there are at most as many as that share says.
 HOT_SHARE = 1000
 
 
@@ -233,19 +234,23 @@ def _attach_rank(
 ) -> DataFrame:
     """Look up the average rank of ``column`` without sending a hot value to one task.
 
-    Hot values (at most HOT_SHARE of them, by counting) are answered from a broadcast
-    table; their rows then travel through the shuffled lookup under many salts.
+    Heat is judged by the rows of ``df`` that would meet, not by their weights. Hot values
+    (at most ``share`` of them, by counting) are answered from a broadcast table; their
+    rows then travel through the shuffled lookup under many salts.
     """
+    share = max(HOT_SHARE, 4 * _range_count(df))
+    rows = df.count()
     held = F.col(weight)
     rank = F.col(f"before_{weight}") + (held + 1) / 2
-    is_hot = held * HOT_SHARE >= F.col(f"total_{weight}")
     mine = table.where(held > 0)
-    hot = mine.where(is_hot).select(F.col("x").alias("_x"), rank.alias("_hot"))
+    meeting = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_meeting"))
+    crowded = meeting.where(F.col("_meeting") * share >= F.lit(rows)).select("x")
+    hot = mine.join(F.broadcast(crowded), "x", "left_semi").select(F.col("x").alias("_x"), rank.alias("_hot"))
     # Ordinary values take a salt from themselves, on both sides; a constant salt would be
     # folded out of the join key. Rows already answered take a salt no lookup row has.
     salts = F.lit(_range_count(df)).cast("bigint")
     own_salt = F.pmod(F.xxhash64("_x"), salts)
-    cold = mine.where(~is_hot).select(F.col("x").alias("_x"), rank.alias("_cold")).withColumn("_salt", own_salt)
+    cold = mine.select(F.col("x").alias("_x"), rank.alias("_cold")).withColumn("_salt", own_salt)
     salt = F.when(F.col("_hot").isNull(), own_salt).otherwise(salts + F.pmod(F.xxhash64(spread_by), salts))
     looked_up = (
         df.withColumn("_x", F.col(column).cast("double"))

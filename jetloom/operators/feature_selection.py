@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jetloom.functions.moments import correlation
 from jetloom.operators.correlations import top_ranked
 from jetloom.operators.distribution import exact_quantiles
+from jetloom.session import stage
 
 MI_BINS = 16
 
@@ -98,10 +99,16 @@ def tree_importance_scores(
     max_depth: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """(feature, score): impurity importance of a random forest."""
-    assembled = VectorAssembler(
-        inputCols=list(features), outputCol="features", handleInvalid="skip"
-    ).transform(df)
+    """(feature, score): impurity importance of a random forest.
+
+    Every row counts: a NULL or NaN feature lies below all known values of its column.
+    """
+    known = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    df = stage(df.select(target, *features))
+    lowest = df.agg(*[F.coalesce(F.min(c), F.lit(0.0)).alias(f) for f, c in known.items()]).first()
+    below_all = {f: lowest[f] - max(1.0, abs(lowest[f])) for f in features}
+    filled = df.select(target, *[F.coalesce(c, F.lit(below_all[f])).alias(f) for f, c in known.items()])
+    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,

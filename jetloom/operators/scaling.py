@@ -87,6 +87,8 @@ class FeatureScaler:
         # Three numbers per feature reach the driver, whatever the table size.
         rows = exact_quantiles(df, columns, (0.25, 0.5, 0.75), self.ranges).collect()
         q = {(r["series"], r["q"]): r["value"] for r in rows}
+        if any(q.get((c, 0.5)) is None for c in columns):
+            raise ValueError("cannot fit a scaler on an empty table")
         return {c: (q[c, 0.5], q[c, 0.75] - q[c, 0.25]) for c in columns}
 
     def _moments(self, df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.operators.topk import first_by_key
-
 # Fixed values of the id hash (two rounds modulo the Mersenne prime 2^31 - 1).
 PRIME = 2_147_483_647
 MULTIPLIER = 742_938_285
@@ -48,7 +46,10 @@ def add_split(
     return df.withColumn("split", split)
 
 
-def first_rows(df: DataFrame, cap: int = 10_000, key: str = "event_id") -> DataFrame:
-    """Detector training set: the first min(cap, n // 2) rows by id (a top-k)."""
-    total = df.count()
-    return first_by_key(df, key, min(cap, total // 2), total)
+def training_share(df: DataFrame, share: float = 0.5, seed: int = SEED, key: str = "event_id") -> DataFrame:
+    """Detector training set: the given share of all events, chosen by hash of the id.
+
+    No shuffle and no number of rows: it behaves alike at every table length. Rows without
+    an id are not trained on.
+    """
+    return df.where(below(key, share, seed + 2))

@@ -64,22 +64,18 @@ def cap_events(events: DataFrame, max_events: int | None, key: str = "event_id")
 
 
 def dataset_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files, size, exact event count and events per file, one row.
-
-    Empty files show up in no row and are therefore not counted.
-    """
+    """Files, size, exact event count and events per file, one row; empty files count too."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    per_file = (
-        spark.read.parquet(*paths)
-        .select("_metadata.file_path", "_metadata.file_size")
-        .groupBy("file_path", "file_size")
-        .agg(F.count(F.lit(1)).alias("events"))
-    )
-    return per_file.agg(
-        F.count(F.lit(1)).alias("n_files"),
-        (F.coalesce(F.sum("file_size"), F.lit(0)) / F.lit(1024.0**3)).alias("total_size_gb"),
-        F.coalesce(F.sum("events"), F.lit(0).cast("bigint")).alias("total_events"),
-        F.avg("events").alias("avg_events_per_file"),
+    # The listing alone: no file is opened for its path and length.
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    listed = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("_bytes"))
+    counted = spark.read.parquet(*paths).agg(F.count(F.lit(1)).alias("total_events"))
+    # One row beside one row.
+    return listed.join(counted, F.lit(True)).select(
+        "n_files",
+        (F.col("_bytes") / F.lit(1024.0**3)).alias("total_size_gb"),
+        "total_events",
+        F.try_divide(F.col("total_events").cast("double"), F.col("n_files")).alias("avg_events_per_file"),
     )
 
 

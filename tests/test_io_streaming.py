@@ -48,6 +48,10 @@ def test_reads(spark, folder):
     assert (info["n_files"], info["total_events"], info["avg_events_per_file"]) == (3, 15, 5.0)
     size = sum(__import__("os").path.getsize(f) for f in files(folder))
     assert info["total_size_gb"] == pytest.approx(size / 1024**3)
+    hollow = str(folder / "hollow")
+    spark.createDataFrame([], PARALLEL_EVENT).coalesce(1).write.parquet(hollow)
+    with_empty = IO.dataset_info(spark, [*files(folder), hollow]).first()
+    assert (with_empty["n_files"], with_empty["total_events"], with_empty["avg_events_per_file"]) == (4, 15, 3.75)
     narrow = IO.read_events(spark, files(folder), "parallel", columns=["pt"])
     plan = narrow._jdf.queryExecution().executedPlan().toString()
     assert narrow.columns == ["event_id", "pt"] and "eta" not in plan

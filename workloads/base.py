@@ -17,8 +17,10 @@ from jetloom.cuts import DEFAULT_CUTS, SelectionCuts
 from jetloom.functions import kinematics as K
 from jetloom.operators.observables import add_observables
 from jetloom.operators.selection import pick_jet_pairs, select_jets, zip_jets
+from jetloom.operators.splits import FOLD, MULTIPLIER, PRIME, SEED
 
-JETS_PER_EMBEDDING = 12
+# 64 components in five blocks of 13: the last block is one short, so the last jet has no jvt.
+JETS_PER_EMBEDDING = 13
 
 
 @dataclass(frozen=True)
@@ -123,8 +125,8 @@ SQL_NESTED = f"""wide AS (
   FROM embeddings, range(1, {JETS_PER_EMBEDDING + 1}) AS r(i)),
 jets AS (
   SELECT event_id, pos, abs(CAST(v[pos] AS DOUBLE)) * 1e6 AS pt,
-    CAST(v[pos + 12] AS DOUBLE) * 20.0 AS eta, CAST(v[pos + 24] AS DOUBLE) * 8.0 AS phi,
-    abs(CAST(v[pos + 36] AS DOUBLE)) * 1e5 AS m, abs(CAST(v[pos + 48] AS DOUBLE)) * 4.0 AS jvt
+    CAST(v[pos + {JETS_PER_EMBEDDING}] AS DOUBLE) * 20.0 AS eta, CAST(v[pos + {2 * JETS_PER_EMBEDDING}] AS DOUBLE) * 8.0 AS phi,
+    abs(CAST(v[pos + {3 * JETS_PER_EMBEDDING}] AS DOUBLE)) * 1e5 AS m, abs(CAST(v[pos + {4 * JETS_PER_EMBEDDING}] AS DOUBLE)) * 4.0 AS jvt
   FROM wide)"""
 
 QUALITY = "pt > 50 AND abs(eta) < 4.5 AND (abs(eta) > 2.5 OR jvt > 0.5)"
@@ -210,6 +212,17 @@ SQL_PAIRS = (
 SQL_OBS = sql_observed()
 
 
+def sql_below(share: float, seed: int) -> str:
+    """SQL of :func:`jetloom.operators.splits.below` for non-negative ids."""
+    a = f"(event_id % {PRIME})"
+    b = f"(({a} * {MULTIPLIER} + {seed}) % {PRIME})"
+    return f"({b} * ({b} % {FOLD}) + {a}) % {PRIME} < {int(share * PRIME)}"
+
+
+# The rows detectors are fitted on, as in training_share().
+SQL_TRAINING = sql_below(0.5, SEED + 2)
+
+
 def steady(df: DataFrame) -> DataFrame:
     """Doubles to nine decimals, as in :func:`pairs`, for statistics that depend on ties."""
     return rounded(df, 9)

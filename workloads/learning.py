@@ -9,10 +9,10 @@ from jetloom.operators import models as ML
 from jetloom.operators.features import TARGET_PROXIES, add_features, feature_columns
 from jetloom.operators.interpret import prediction_sensitivity
 from jetloom.operators.scaling import FeatureScaler
-from jetloom.operators.splits import add_split, first_rows
+from jetloom.operators.splits import add_split, training_share
 from jetloom.plans import flows
 from jetloom.session import stage, stage_path
-from workloads.base import SQL_OBS, SQL_PAIRS, nested_events, observed, pairs, query, rounded, sql_round
+from workloads.base import SQL_OBS, SQL_PAIRS, SQL_TRAINING, nested_events, observed, pairs, query, rounded, sql_round
 
 # A short boosting run: the registered queries show the operator, not a tuned model.
 SHORT = ML.BoostedTreesConfig(rounds=5, max_depth=4)
@@ -125,7 +125,7 @@ def i1(spark, sf_dir):
 def _detected(spark, sf_dir, method):
     rows = _rows(spark, sf_dir)
     detector = AN.AnomalyDetector(method)
-    detector.fit(first_rows(rows), FEATURES)
+    detector.fit(training_share(rows), FEATURES)
     return detector.detect(rows).select("event_id", "anomaly_score", "is_anomaly"), detector, rows
 
 
@@ -146,7 +146,7 @@ def n3(spark, sf_dir):
     names = feature_columns(table, TARGET_PROXIES)
     rows = stage(table.select("event_id", *names))
     detector = AN.AnomalyDetector("reconstruction")
-    detector.fit(first_rows(rows), names)
+    detector.fit(training_share(rows), names)
     return detector.detect(rows).select("event_id", "anomaly_score", "is_anomaly")
 
 
@@ -156,7 +156,7 @@ def n4(spark, sf_dir):
     names = feature_columns(table, TARGET_PROXIES)
     rows = stage(table.select("event_id", *names))
     detector = AN.AnomalyDetector("reconstruction")
-    detector.fit(first_rows(rows), names)
+    detector.fit(training_share(rows), names)
     quality = detector.reconstruction_quality(rows)
     return quality.select("event_id", "total_reconstruction_error", "max_feature_error", "mean_absolute_error")
 
@@ -165,7 +165,7 @@ def n4(spark, sf_dir):
 def n5(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     scaler = FeatureScaler("standard")
-    scaler.fit(first_rows(rows), FEATURES)
+    scaler.fit(training_share(rows), FEATURES)
     return scaler.transform(rows).agg(*[F.avg(f).alias(f) for f in FEATURES])
 
 
@@ -206,19 +206,17 @@ for _voting, _condition in (("majority", "> 1.5"), ("unanimous", "= 3"), ("any",
 def n6(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     ensemble = AN.EnsembleAnomalyDetector(("elliptic_envelope", "isolation_forest"))
-    ensemble.fit(first_rows(rows), FEATURES)
+    ensemble.fit(training_share(rows), FEATURES)
     return ensemble.detect(rows).drop(TARGET, *FEATURES)
 
 
 def _both(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    training = stage(first_rows(rows))
-    outputs = []
-    for method in ("isolation_forest", "elliptic_envelope"):
-        detector = AN.AnomalyDetector(method)
+    training = stage(training_share(rows))
+    detectors = [AN.AnomalyDetector(method) for method in ("isolation_forest", "elliptic_envelope")]
+    for detector in detectors:
         detector.fit(training, FEATURES)
-        outputs.append(detector.detect(rows))
-    return AN.compare_detectors(*outputs)
+    return AN.detect_both(*detectors, rows)
 
 
 @query("n7_compare_detectors")
@@ -260,17 +258,16 @@ def l2_pairs(spark, sf_dir):
 @query(
     "n5_standardised_rows",
     SQL_OBS
-    + ", numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM obs), "
-    "training AS (SELECT * FROM numbered WHERE i <= least(10000, n // 2)), fit AS (SELECT "
+    + f", training AS (SELECT * FROM obs WHERE {SQL_TRAINING}), fit AS (SELECT "
     + ", ".join(f"avg({f}) AS c_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES)
     + " FROM training) SELECT event_id, "
     + sql_round([(f, f"({f} - c_{f}) / s_{f}") for f in FEATURES])
-    + " FROM numbered, fit",
+    + " FROM obs, fit",
 )
 def n5_rows(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     scaler = FeatureScaler("standard")
-    scaler.fit(first_rows(rows), FEATURES)
+    scaler.fit(training_share(rows), FEATURES)
     return rounded(scaler.transform(rows).select("event_id", *FEATURES))
 
 

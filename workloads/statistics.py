@@ -12,8 +12,8 @@ from jetloom.operators import feature_selection as FS
 from jetloom.operators import interpret as I
 from jetloom.operators import metrics as M
 from jetloom.operators.scaling import FeatureScaler
-from jetloom.operators.splits import FOLD, MULTIPLIER, PRIME, add_split, first_rows
-from workloads.base import SQL_OBS, SQL_PAIRS, observed, pairs, query, rounded, sql_round, steady
+from jetloom.operators.splits import FOLD, MULTIPLIER, PRIME, add_split, training_share
+from workloads.base import SQL_TRAINING, SQL_OBS, SQL_PAIRS, observed, pairs, query, rounded, sql_round, steady
 from workloads.physics import _TEXT_SQL
 
 # ---------------------------------------------------------------- G: single-pass families
@@ -623,12 +623,10 @@ def x1(spark, sf_dir):
 @query(
     "x2_detector_training_rows",
     SQL_OBS
-    + ", n AS (SELECT least(10000, count(*) // 2) AS k FROM obs), "
-    "numbered AS (SELECT event_id, mjj, row_number() OVER (ORDER BY event_id) AS i FROM obs) "
-    "SELECT event_id, round(mjj, 4) AS mjj FROM numbered, n WHERE i <= k",
+    + f" SELECT event_id, round(mjj, 4) AS mjj FROM obs WHERE {SQL_TRAINING}",
 )
 def x2(spark, sf_dir):
-    return rounded(first_rows(observed(spark, sf_dir).select("event_id", "mjj")), 4)
+    return rounded(training_share(observed(spark, sf_dir).select("event_id", "mjj")), 4)
 
 
 # ---------------------------------------------------------------- M: scaling
@@ -750,5 +748,5 @@ def m11(spark, sf_dir):
 @query("m9_tree_importance")
 def m9(spark, sf_dir):
     return FS.tree_importance_scores(
-        observed(spark, sf_dir), SCORED_FEATURES, "cos_theta_star", max_depth=5
+        observed(spark, sf_dir), SCORED_FEATURES, "cos_theta_star"
     )
