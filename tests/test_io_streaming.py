@@ -127,6 +127,42 @@ def test_batches_of_ten(spark, tmp_path):
     assert {b for _, b in flows.plan_batches(spark, str(broken))} == {1, 3}
 
 
+def test_batches_lose_no_file(spark, tmp_path, monkeypatch):
+    def write(name, first, n):
+        rows = [(first + i, [90.0, 80.0], [0.0, 0.0], [0.0, 3.0], [1.0, 1.0], [1.0, 1.0]) for i in range(n)]
+        spark.createDataFrame(rows, PARALLEL_EVENT).coalesce(1).write.parquet(str(tmp_path / name))
+        return str(next((tmp_path / name).glob("*.parquet")))
+
+    spaced, plain = write("a folder", 0, 2), write("plain", 10, 3)
+    junk = tmp_path / "junk.parquet"
+    junk.write_text("this is not a table")
+    relative = __import__("os").path.relpath(write("near", 20, 4))
+    entries = [spaced, plain, relative, str(tmp_path / "a folder"), plain, str(junk), str(tmp_path / "absent"), spaced]
+    listing = tmp_path / "list.txt"
+    listing.write_text("\n".join(entries))
+    report = flows.batch_inference(
+        spark, str(listing), str(tmp_path / "out"), lambda e: loose(e, keep=("batch",)), "parallel", batch_size=2
+    )
+    got = spark.read.parquet(str(tmp_path / "out"))
+    # The last batch names a missing file; the spaced file is also read through its folder.
+    assert {r["batch"]: r["count"] for r in got.groupBy("batch").count().collect()} == {1: 5, 2: 6, 3: 3}
+    status = {r["position"]: (r["events"], r["status"]) for r in report.collect()}
+    assert status == {
+        0: (2, "read"), 1: (3, "read"), 2: (4, "read"), 3: (2, "read"), 4: (3, "read"),
+        5: (0, "empty or unreadable"), 6: (0, "missing"), 7: (0, "skipped with its batch"),
+    }
+    monkeypatch.setattr(flows, "BROADCAST_FILES", 0)
+    flows.batch_inference(
+        spark, str(listing), str(tmp_path / "out2"), lambda e: loose(e, keep=("batch",)), "parallel", batch_size=2
+    )
+    assert ids(spark.read.parquet(str(tmp_path / "out2"))) == ids(got)
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    listing.write_text("\n".join([plain, str(bare)]))
+    with pytest.raises(ValueError, match="without files"):
+        flows.batch_inference(spark, str(listing), str(tmp_path / "out3"), lambda e: e, "parallel")
+
+
 def test_stream_equals_batch(spark, folder, tmp_path):
     source = str(folder / "part*")
     want = sorted(map(tuple, loose(IO.read_events(spark, files(folder), "parallel")).collect()))
