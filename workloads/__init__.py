@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry():
     """All workloads by name."""
-    from workloads import base, learning, physics, scans, statistics  # noqa: F401
+    from workloads import base, known_labels, learning, physics, scans, statistics  # noqa: F401
 
     return base.REGISTRY
