@@ -13,7 +13,7 @@ from jetloom.llm.compression_toxicity import drop_toxic
 from jetloom.llm.cuckoo import keep_first
 from jetloom.llm.decontaminate import drop_leaks
 from jetloom.llm.mixing import mix
-from jetloom.llm.odd_sketch import keep_smallest
+from jetloom.llm.odd_sketch import NearPlan, keep_smallest
 from jetloom.llm.staging import staged
 
 
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return keep_smallest(docs)
+    """One document of each near-duplicate component (similarity 0.8 or more) stays."""
+    return keep_smallest(docs, NearPlan(percent=80))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

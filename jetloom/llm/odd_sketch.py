@@ -6,7 +6,7 @@ keeps the cost of a document near ``max(n, 16 * SAMPLES)``. Sets of different si
 whose larger partners may lie in the next class is signed in both. An empty bin is a value of its own: two sets then
 agree in a bin with a probability of at least their similarity.
 
-**Candidates.** Bands of ``ROWS`` samples; two sets at the 0.85 threshold share none of the bands once in 4 million
+**Candidates.** Bands of ``ROWS`` samples; two sets at a threshold of 0.8 share none of the bands once in 7 million
 times. Every member of a band bucket meets the bucket's smallest id, which is linear in the bucket. Buckets whose members did not
 all end in one component are searched again, pair by pair in blocks of bounded size, between different components only.
 
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from jetloom.llm.staging import KeyBitmap, connected_labels, narrow, split_mix, staged
 from jetloom.llm.text import chunks, distinct_shingles, text_bytes, words_of
 
-ROWS = 6
-BANDS = 32
+ROWS = 5
+BANDS = 40
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 #: (smallest set size, bins per permutation): at least four shingles a bin from the second class on.
-CLASSES = ((1, 1), (16, 4), (64, 16), (256, 64), (768, 192))
+CLASSES = ((1, 1), (16, 4), (80, 20), (200, 50), (800, 200))
 #: Members compared with each other in one task of the second search.
 BLOCK = 512
 
@@ -45,7 +45,11 @@ class NearPlan:
     """Shingle width and the link rule ``100 * intersection >= percent * union``."""
 
     width: int = 5
-    percent: int = 85
+    percent: int = 80
+
+
+#: The contract of the registered query ``op4_odd_sketch_dedup``.
+QUERY_PLAN = NearPlan(percent=85)
 
 
 def size_classes(n: int, percent: int) -> list[int]:
@@ -97,12 +101,15 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 def most_differing(percent: int) -> int:
     """XOR population above which a pair at the threshold is out of the question (5.3 standard deviations).
 
-    With m samples of which d differ, about ``SKETCH_BITS * (1 - exp(-4d / SKETCH_BITS)) / 2`` bits stay set.
+    With m samples of which d differ, about ``SKETCH_BITS * (1 - exp(-4d / SKETCH_BITS)) / 2`` bits stay set. The
+    deviation is that of d and that of the bits on which 2d entries fall.
     """
     similar = percent / 100
-    low = max(0.0, similar - 5.3 * np.sqrt(similar * (1 - similar) / SAMPLES))
-    bits = SKETCH_BITS * (1 - np.exp(-4 * SAMPLES * (1 - low) / SKETCH_BITS)) / 2
-    return int(np.ceil(bits + 3))
+    differing = SAMPLES * (1 - similar)
+    fade = np.exp(-4 * differing / SKETCH_BITS)
+    of_samples = 4 * fade**2 * differing * similar
+    of_bits = SKETCH_BITS * (1 - fade**2) / 4 - 2 * differing * fade**2
+    return int(np.ceil(SKETCH_BITS * (1 - fade) / 2 + 5.3 * np.sqrt(of_samples + max(of_bits, 0.0))))
 
 
 def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -343,8 +350,8 @@ class NearDuplicates:
         )
 
 
-def near_components(docs: DataFrame, plan: NearPlan = NearPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+def near_components(docs: DataFrame, plan: NearPlan = QUERY_PLAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``; by default under the rule of the registered query.
 
     ``n_shingles`` is the size of the set of distinct runs of ``width`` lower-cased words (a shorter text is one run).
     NULL, empty and wordless texts have none and link with nothing. A NULL id is never linked or kept; rows that repeat an id are one document in the
@@ -354,6 +361,6 @@ def near_components(docs: DataFrame, plan: NearPlan = NearPlan(), doc_id: str =
 
 
 def keep_smallest(docs: DataFrame, plan: NearPlan = NearPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, all columns."""
+    """One document of each component, all columns; by default components at the general 80 percent."""
     kept = near_components(docs, plan, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi")

@@ -12,7 +12,7 @@ from jetloom.llm.compression_toxicity import held_out
 from jetloom.llm.cuckoo import exact_groups
 from jetloom.llm.decontaminate import leaks
 from jetloom.llm.mixing import mix
-from jetloom.llm.odd_sketch import near_components
+from jetloom.llm.odd_sketch import QUERY_PLAN, near_components
 from jetloom.llm.repeats import repeats
 from jetloom.llm.text import SPACE_REGEX
 
@@ -38,7 +38,7 @@ def op3_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components."""
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), QUERY_PLAN)
 
 
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

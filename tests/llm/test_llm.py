@@ -138,6 +138,31 @@ def test_near_components_of_a_torn_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == near_truth(texts)
 
 
+def test_pipeline_drops_near_copies_at_80_percent(spark):
+    """Pairs between 0.80 and 0.85 go, the nearest pair below 0.80 stays."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for changed in (14, 15, 16, 17, 18, 19):
+        base = words(rng, 164).split(" ")
+        # A changed word at the end takes one shingle each: 160 - n of 160 + n are shared.
+        near = base[: 164 - changed] + [f"q{k}" for k in range(changed)]
+        texts += [" ".join(base), " ".join(near)]
+    sets = [shingle_set(t) for t in texts]
+    truth = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert not any(100 * len(a & b) >= 85 * len(a | b) for a, b in zip(sets[::2], sets[1::2])) and truth.count(False) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {2 * k for k in range(6)} | {2 * k + 1 for k in range(6) if not truth[k]}
+
+
+def test_band_miss_rate():
+    """A pair at exactly 0.8 is missed no more often than one at 0.85 was by 32 bands of 6."""
+    assert (1 - 0.8**odd_sketch.ROWS) ** odd_sketch.BANDS <= (1 - 0.85**6) ** 32
+    assert all(odd_sketch.SAMPLES % bins == 0 for _, bins in odd_sketch.CLASSES)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (900, 50, 50))
