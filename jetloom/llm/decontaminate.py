@@ -27,10 +27,11 @@ class LeakPlan:
     """Masks, and the overlap that counts as a leak.
 
     An overlap has at least ``least_words`` equal tokens (or a whole shorter item), and at least ``share`` of its
-    tokens equal. ``drop`` mismatches in excess of matches end an extension.
+    tokens equal. The default masks hit every overlap that the default rule accepts, wherever its substitutions lie:
+    one of 32 or more tokens has a half that is accepted too, and a test enumerates the shorter ones.
     """
 
-    masks: tuple[str, ...] = ("11111111", "1101100110101", "1010110011011")
+    masks: tuple[str, ...] = ("11110111", "11101001011", "1101000000011011", "101001100111", "11110010101")
     least_words: int = 13
     share: float = 0.8
     drop: int = 4
@@ -90,8 +91,8 @@ def _item_seeds(plan: LeakPlan):
                 for number, mask in enumerate(plan.masks):
                     for at, h in enumerate(seed_hashes(tokens, mask, number).view(np.int64).tolist()):
                         rows.append((h, item, at))
-                if 0 < len(tokens) < len(plan.masks[0]):
-                    # Shorter than a seed: the whole item is one.
+                if 0 < len(tokens) < plan.least_words:
+                    # It leaks only as a whole: the whole item is a seed.
                     rows.append((int(seed_hashes(tokens, "1" * len(tokens), 100 + len(tokens)).view(np.int64)[0]), item, 0))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["seed", "item_id", "item_at"])
 
@@ -175,7 +176,7 @@ def leaks(
     bitmap = KeyBitmap(seeds, "seed", SEED_BITMAP_BITS)
     item_tokens = staged(items.mapInArrow(_tokens, "item_id long, item_tokens binary"), "items")
     width = F.octet_length("item_tokens") / 8
-    short = [int(r[0]) for r in item_tokens.filter((width > 0) & (width < len(plan.masks[0]))).select(width).distinct().collect()]
+    short = [int(r[0]) for r in item_tokens.filter((width > 0) & (width < plan.least_words)).select(width).distinct().collect()]
     hits = docs.mapInArrow(_doc_hits(plan, bitmap.shared, bitmap.bits, short), "seed long, doc_id long, doc_at long")
     met = hits.join(seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
     met = staged(met, "hits")

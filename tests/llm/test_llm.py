@@ -227,6 +227,43 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == [3, 4, 7, 8]
 
 
+def test_seed_masks_hit_every_accepted_overlap():
+    """Enumeration of the substitution patterns that escape all masks: none of them is an overlap by the rule.
+
+    31 tokens suffice: of a longer overlap one half has share 0.8 and, with 16 tokens or more, 13 equal ones.
+    """
+    plan = decontaminate.LeakPlan()
+    ones = [(len(m), int(m, 2)) for m in plan.masks]
+
+    def escaping(history, n, equal):
+        """Unhit patterns that begin with the given one; the last token is the lowest bit."""
+        if any(n >= size and history & mask == mask for size, mask in ones):
+            return
+        if equal >= plan.least_words and equal >= plan.share * n:
+            yield format(history, f"0{n}b")
+        if n < 31:
+            yield from escaping(history << 1 | 1, n + 1, equal + 1)
+            if n + 1 - equal <= 31 // 5:
+                yield from escaping(history << 1, n + 1, equal)
+
+    assert list(escaping(1, 1, 1)) == []
+
+
+def test_leaks_with_spread_substitutions(spark):
+    """Every 5th token of a long passage, the 6th and 11th of a short one; an item between a seed and the least overlap."""
+    rng = random.Random(5)
+    items = [(0, words(rng, 59)), (1, words(rng, 15)), (2, words(rng, 12))]
+    texts = []
+    for item, places in zip(items, (range(4, 59, 5), (5, 10), ()), strict=True):
+        own = item[1].split(" ")
+        for at in places:
+            own[at] = f"q{at}"
+        texts.append((item[0], words(rng, 20) + " " + " ".join(own) + " " + words(rng, 20)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.equal_words for r in got} == {(0, 0): 48, (1, 1): 13, (2, 2): 12}
+
+
 def test_mix(docs, rows):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()
