@@ -10,6 +10,7 @@ around it are compared along that diagonal, substitutions allowed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,6 @@ class LeakPlan:
     masks: tuple[str, ...] = ("11110111", "11101001011", "1101000000011011", "101001100111", "11110010101")
     least_words: int = 13
     share: float = 0.8
-    drop: int = 4
 
 
 def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -50,33 +50,31 @@ def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, plan: LeakPlan) -> tuple[int, int, int] | None:
-    """Best substitution-tolerant overlap on a diagonal: ``(first item token, end, equal tokens)`` or None.
+    """Largest overlap on a diagonal that the plan accepts: ``(first item token, end, equal tokens)`` or None.
 
-    Matches count +1 and mismatches -1; the best-scoring run is cut where a running score falls ``drop`` below its top.
+    Of all runs with at least ``share`` equal tokens the one with most of them, then the shortest, then the first. With
+    matches worth ``1 - share`` and mismatches ``-share``, a run has the share if its sum is not negative, so the best
+    run from a start ends at the last prefix sum that is not below the start's.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if hi <= lo:
         return None
     equal = doc[lo + diagonal : hi + diagonal] == item[lo:hi]
-    best = (0, 0, 0)
-    score = top = start = end = 0
-    for k, same in enumerate(equal.tolist()):
-        if score == 0:
-            start = end = k
-            top = 0
-        score += 1 if same else -1
-        if score > top:
-            top, end = score, k + 1
-            if top > best[0]:
-                best = (top, start, end)
-        if score < 0 or score <= top - plan.drop:
-            score = 0
-    _, start, end = best
-    same = int(equal[start:end].sum())
-    need = min(plan.least_words, len(item))
-    if same < need or same < plan.share * (end - start):
+    at = np.flatnonzero(equal)
+    if len(at) < min(plan.least_words, len(item)):
         return None
-    return lo + start, lo + end, same
+    # Whole numbers, so that a run with exactly the share counts.
+    share = Fraction(str(plan.share))
+    total = np.concatenate(([0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))))
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    end = len(total) - np.searchsorted(highest[::-1], total[at])
+    same = np.searchsorted(at, end - 1) - np.arange(len(at))
+    # Mismatches at the end of a run only lengthen it.
+    end = at[np.arange(len(at)) + same - 1] + 1
+    k = int(np.lexsort((end - at, -same))[0])
+    if same[k] < min(plan.least_words, len(item)):
+        return None
+    return lo + int(at[k]), lo + int(end[k]), int(same[k])
 
 
 def _item_seeds(plan: LeakPlan):

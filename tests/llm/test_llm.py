@@ -264,6 +264,35 @@ def test_leaks_with_spread_substitutions(spark):
     assert {(r.doc_id, r.item_id): r.equal_words for r in got} == {(0, 0): 48, (1, 1): 13, (2, 2): 12}
 
 
+def overlap_truth(equal, least, num, den):
+    """The best of all runs: most equal tokens, then shortest, then first."""
+    runs = [(-sum(equal[i:j]), j - i, i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)]
+    best = min((r for r in runs if -r[0] >= least and -r[0] * den >= num * r[1]), default=None)
+    return best and (best[2], best[2] + best[1], -best[0])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([True, True, True, False]), min_size=1, max_size=70), st.integers(-3, 3), st.sampled_from([4, 13]))
+def test_overlap_like_all_runs(equal, shift, least):
+    item = np.arange(1, len(equal) + 1, dtype=np.uint64)
+    doc = np.where(equal, item, 0).astype(np.uint64)
+    if shift > 0:
+        doc = np.concatenate((np.zeros(shift, np.uint64), doc))
+    else:
+        item, doc, equal = item, doc[-shift:], [False] * min(-shift, len(equal)) + equal[-shift:]
+    truth = overlap_truth(equal, min(least, len(item)), 4, 5)
+    assert decontaminate.overlap(doc, item, shift, decontaminate.LeakPlan(least_words=least)) == truth
+
+
+def test_overlap_before_weak_matches():
+    """20 equal tokens, then 42 in which every third differs: the whole scores higher and fails the share."""
+    item = np.arange(1, 63, dtype=np.uint64)
+    doc = item.copy()
+    doc[22::3] = 0
+    assert decontaminate.overlap(doc, item, 0, decontaminate.LeakPlan()) == overlap_truth((doc == item).tolist(), 13, 4, 5)
+    assert decontaminate.overlap(doc, item, 0, decontaminate.LeakPlan()) is not None
+
+
 def test_mix(docs, rows):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()
