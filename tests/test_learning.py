@@ -327,3 +327,16 @@ def test_detectors_reload(spark, contaminated, tmp_path, method):
     a = detector.detect(df).orderBy("event_id").select("anomaly_score").toPandas()
     b = again.detect(df).orderBy("event_id").select("anomaly_score").toPandas()
     np.testing.assert_allclose(a, b)
+
+
+@pytest.mark.parametrize("name", ["n1_forest_finds_planted", "n2_envelope_finds_planted"])
+def test_planted_queries_see_every_verdict(spark, sf_dir, monkeypatch, name):
+    """A detector that flags every row, or none, does not give what the SQL expects."""
+    from workloads import known_labels, registry
+
+    run = registry()[name].run
+    expected = {r.event_id for r in known_labels.observed(spark, sf_dir).select("event_id").where(f"event_id % {known_labels.PLANTED} = 0").collect()}
+    assert expected and {r.event_id for r in run(spark, sf_dir).collect()} == expected
+    for flag in (True, False):
+        monkeypatch.setattr(AN.AnomalyDetector, "detect", lambda self, rows: rows.withColumn("is_anomaly", F.lit(flag)))
+        assert {r.event_id for r in run(spark, sf_dir).collect()} != expected
