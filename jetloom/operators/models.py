@@ -72,7 +72,10 @@ def train_bounded(
     max_iter: int = 25,
     regularization: float = 1e-6,
 ) -> PipelineModel:
-    """Regression with a logistic output: predictions cannot leave [0, 1]."""
+    """Regression with a logistic output: predictions cannot leave [0, 1].
+
+    A fit that meets ``max_iter`` is reported as a warning: it may not have converged.
+    """
     head = GeneralizedLinearRegression(
         featuresCol="features",
         labelCol=target,
@@ -82,7 +85,11 @@ def train_bounded(
         maxIter=max_iter,
         regParam=regularization,
     )
-    return Pipeline(stages=[_assembler(features), head]).fit(rows)
+    model = Pipeline(stages=[_assembler(features), head]).fit(rows)
+    steps = model.stages[-1].summary.numIterations
+    if steps >= max_iter:
+        log.warning("bounded regressor stopped after %d iterations, possibly before it converged", steps)
+    return model
 
 
 def regression_metrics(scored: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:

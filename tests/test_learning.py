@@ -340,3 +340,36 @@ def test_planted_queries_see_every_verdict(spark, sf_dir, monkeypatch, name):
     for flag in (True, False):
         monkeypatch.setattr(AN.AnomalyDetector, "detect", lambda self, rows: rows.withColumn("is_anomaly", F.lit(flag)))
         assert {r.event_id for r in run(spark, sf_dir).collect()} != expected
+
+
+def test_registered_boosting_uses_the_defaults(spark, sf_dir, monkeypatch):
+    from workloads import learning
+
+    seen = []
+    monkeypatch.setattr(ML, "GBTRegressor", lambda **given: seen.append(given) or 1 / 0)
+    monkeypatch.setattr(flows, "train", lambda table, **given: seen.append(given) or 1 / 0)
+    for run in (learning.l1, learning.l2, learning.l4, learning.l6):
+        with pytest.raises(ZeroDivisionError):
+            run(spark, sf_dir)
+    assert [(g["maxDepth"], g["maxIter"]) for g in seen[:3]] == [(6, 1000)] * 3 and seen[3] == {}
+
+
+def test_unconverged_bounded_fit_is_reported(table, caplog):
+    ML.train_bounded(table, FEATURES, "y", max_iter=1)
+    assert "stopped after 1 iterations" in caplog.text
+    caplog.clear()
+    ML.train_bounded(table, FEATURES, "y")
+    assert caplog.text == ""
+
+
+def test_concentration_steps_go_on_to_convergence(spark, monkeypatch):
+    """More than ten steps while the determinant falls."""
+    steps = []
+
+    def moments(rows, vector):
+        steps.append(len(steps))
+        return 100, np.zeros(2), np.eye(2) * max(2.0 ** -len(steps), 2.0**-15)
+
+    monkeypatch.setattr(AN, "vector_moments", moments)
+    AN.robust_covariance(spark.range(100).select(F.array(F.rand(1), F.rand(2)).alias("v")), "v")
+    assert len(steps) == 17

@@ -14,8 +14,6 @@ from jetloom.plans import flows
 from jetloom.session import stage, stage_path
 from workloads.base import SQL_OBS, SQL_PAIRS, SQL_TRAINING, nested_events, observed, pairs, query, rounded, sql_round
 
-# A short boosting run: the registered queries show the operator, not a tuned model.
-SHORT = ML.BoostedTreesConfig(rounds=5, max_depth=4)
 TARGET = "cos_theta_star"
 FEATURES = ["mjj", "delta_phi", "pt_balance", "leading_jet_pt", "subleading_jet_pt", "eta_centrality", "n_jets"]
 
@@ -27,7 +25,7 @@ def _rows(spark, sf_dir):
 def _boosted(rows):
     fitting = add_split(rows).where(F.col("split") != "test")
     fitting = fitting.withColumn("_validation", F.col("split") == "validation")
-    return ML.train_boosted_trees(fitting, FEATURES, TARGET, "_validation", SHORT)
+    return ML.train_boosted_trees(fitting, FEATURES, TARGET, "_validation")
 
 
 @query("l1_boosted_trees")
@@ -71,7 +69,7 @@ def l5(spark, sf_dir):
 @query("l6_training_flow")
 def l6(spark, sf_dir):
     table = add_features(observed(spark, sf_dir))
-    return flows.train(table, config=SHORT).evaluation
+    return flows.train(table).evaluation
 
 
 @query("l7_inference_flow")
