@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetloom.llm import block_labeller, compression_toxicity, factorization, semimarkov, warc
+from jetloom.llm import block_labeller, centroids, compression_toxicity, factorization, packing, semimarkov, spelling, warc
 from jetloom.llm.compression_toxicity import held_out
 from jetloom.llm.cuckoo import exact_groups
 from jetloom.llm.decontaminate import leaks
@@ -77,11 +77,27 @@ def op10_semimarkov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semimarkov.find(docs, semimarkov.fit_on(docs))
 
 
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words and the forms they vary."""
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.QUERY_PLAN)
+
+
+def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_cube_mix, op2_spaced_seed_leaks, op3_cuckoo_dedup, op4_odd_sketch_dedup, op5_compression_toxicity,
-        op6_warc_derivatives, op7_lyndon_repeats, op8_factorization_quality, op9_block_lstm_extract, op10_semimarkov_pii,
+        op6_warc_derivatives, op7_lyndon_repeats, op8_factorization_quality, op9_block_lstm_extract, op10_semimarkov_pii, op11_residual_packing,
+        op12_trie_variants, op13_bisector_clusters,
     )
 }
 
@@ -123,6 +139,50 @@ def _warc_sql() -> str:
     """
 
 
+def _clusters_sql(plan: centroids.CentroidPlan = centroids.CentroidPlan()) -> str:
+    """Plain nearest centroids, one pair of common table expressions a round."""
+    gap = f"list_sum(list_transform(range(1, {plan.dims} + 1), lambda i: (x[i] - m[i]) * (x[i] - m[i])))::BIGINT"
+    parts = [
+        f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * {plan.scale})::BIGINT) AS x
+            FROM embeddings
+            WHERE len(embedding) = {plan.dims}
+              AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {plan.dims}
+        )""",
+        f"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('{plan.seed}:' || vec_id), x) - 1 AS c, x AS m
+            FROM v ORDER BY sha256('{plan.seed}:' || vec_id), x LIMIT {plan.clusters}
+        )""",
+    ]
+    for k in range(plan.rounds + 1):
+        parts.append(
+            f"""a{k} AS MATERIALIZED (
+            SELECT r, best.c AS c, best.d AS d
+            FROM (SELECT r, min({{'d': {gap}, 'c': c}}) AS best FROM v, c{k} GROUP BY r)
+        )"""
+        )
+        if k < plan.rounds:
+            parts.append(
+                f"""c{k + 1} AS MATERIALIZED (
+            SELECT c{k}.c, coalesce(moved.m, c{k}.m) AS m
+            FROM c{k} LEFT JOIN (
+                SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS m
+                FROM (
+                    SELECT c, i, sum(x[i]) AS s, count(*) AS n
+                    FROM a{k} JOIN v USING (r), range(1, {plan.dims} + 1) AS p(i) GROUP BY c, i
+                ) GROUP BY c
+            ) AS moved ON moved.c = c{k}.c
+        )"""
+            )
+    last = plan.rounds
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, a{last}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{last}.c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{last} JOIN v USING (r) JOIN c{last} ON a{last}.c = c{last}.c
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_cuckoo_dedup": f"""
         WITH t AS (
@@ -133,4 +193,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
     "op6_warc_derivatives": _warc_sql(),
+    "op13_bisector_clusters": _clusters_sql(),
 }
