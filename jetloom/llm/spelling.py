@@ -143,27 +143,40 @@ def trie_edges(words: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _shared(a: Column, b: Column, size: Column) -> Column:
+    """How many letters the first ``size`` letters of ``a`` and ``b`` share at the start: a binary search on equal runs."""
+
+    def longer(known: Column, step: Column) -> Column:
+        same = F.substr(a, known + 1, step) == F.substr(b, known + 1, step)
+        return F.when((known + step <= size) & same, known + step).otherwise(known)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), longer)
+
+
 def _step(met: DataFrame, edits: int, top: float) -> DataFrame:
     """Children of the states joined with edges; those that neither end nor lead on are left out."""
-    at, width = F.col("position"), F.char_length("label")
+    at, label, width = F.col("position"), F.col("label"), F.char_length("label")
     left = F.char_length("word") - at
 
-    def ahead(count: Column) -> Column:
-        return F.substr("word", at + 1, count)
-
-    def one_edit(count: Column) -> Column:
-        return (left >= count) & (F.levenshtein(ahead(count), F.col("label"), 1) == 1)
-
     def state(position: Column, edits_: int) -> Column:
         return F.struct(position.cast("int").alias("position"), F.lit(edits_).alias("edits"))
 
-    same = ahead(width) == F.col("label")
+    same = F.substr("word", at + 1, width) == label
     if edits:
         met = met.filter(same).withColumn("next", state(at + width, 1))
     else:
-        inside = F.filter(
-            F.array(*(F.when(one_edit(width + d), state(at + width + d, 1)) for d in (-1, 0, 1))), lambda s: s.isNotNull()
-        )
+        common = F.when(width == 1, F.lit(0)).otherwise(_shared(F.substr("word", at + 1, width), label, F.least(width, left)))
+        met = met.withColumn("common", F.when(same, width).otherwise(common))
+        p = F.col("common")
+
+        def after(skipped: int, label_skipped: int) -> Column:
+            """The state past the label if, beyond the first difference, the word goes on like the label."""
+            rest = width - p - label_skipped
+            fits = (left >= p + skipped + rest) & (F.substr("word", at + p + skipped + 1, rest) == F.substr(label, p + label_skipped + 1, rest))
+            return F.when(fits, state(at + p + skipped + rest, 1))
+
+        # Another letter, a letter that the word lacks, a letter that it has too many.
+        inside = F.filter(F.array(after(1, 1), after(0, 1), after(1, 0)), lambda s: s.isNotNull())
         met = met.withColumn("next", F.explode(F.when(same, F.array(state(at + width, 0))).otherwise(inside)))
     position, done = F.col("next.position"), F.col("next.edits")
     size = F.char_length("word")
@@ -209,7 +222,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     for more in found[1:]:
         pairs = pairs.union(more)
     # Digests lead the way; the pair itself is compared.
-    return pairs.distinct().filter(F.levenshtein("word", "near", 1) == 1)
+    word, near = F.col("word"), F.col("near")
+    a, b = F.char_length(word), F.char_length(near)
+    compared = pairs.distinct().withColumn("p", _shared(word, near, F.least(a, b)))
+    rest_of_word = F.substr(word, F.col("p") + 1 + (a >= b).cast("int"), a)
+    rest_of_near = F.substr(near, F.col("p") + 1 + (b >= a).cast("int"), b)
+    return compared.filter((F.abs(a - b) <= 1) & (rest_of_word == rest_of_near) & (word != near)).select("word", "near")
 
 
 def roots(forms: DataFrame) -> DataFrame:
