@@ -14,6 +14,8 @@ finished where they are. A node therefore reads at most ``fan * (fan * capacity
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -25,13 +27,17 @@ from pyspark.sql import functions as F
 
 from jetloom.llm.staging import narrow, staged
 
-#: Characters tokenised together; longer texts are tokenised in parts cut at spaces.
+#: Longer texts are tokenised in parts of so many characters, cut at spaces.
 CHUNK_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
 class PackingPlan:
-    """``tokenizer`` is a file of the ``tokenizers`` library: a path, or the name of a public vocabulary file."""
+    """``tokenizer`` is a file of the ``tokenizers`` library: a path, or the name of a public vocabulary file.
+
+    With ``by_words`` it must drop white space, lower-case and part letters from other characters, as the default one does;
+    any other is given whole texts.
+    """
 
     tokenizer: str = "word_bpe_49k.json"
     capacity: int = 2048
@@ -39,6 +45,7 @@ class PackingPlan:
     cell_items: int = 16_384
     fan: int = 8
     slack: int = 4
+    by_words: bool = True
 
 
 def _load(name: str):
@@ -66,41 +73,86 @@ def parts(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def token_ids(tokenizer, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """Ids of every text, each closed by ``end_id``."""
-    cuts = [parts(text) for text in texts]
-    encoded = iter(tokenizer.encode_batch_fast([part for cut in cuts for part in cut], add_special_tokens=False))
-    return [np.array([i for _ in cut for i in next(encoded).ids] + [end_id], "<u4") for cut in cuts]
+#: Chunks between white space that part into letters and other characters without a loss: ASCII but the apostrophe, and the
+#: letters of U+00C0 to U+00FF.
+_PLAIN = re.compile("[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+
+
+class WordIds:
+    """Ids of texts by way of their words: what the tokenizer makes of a word does not depend on its neighbours.
+
+    White space is dropped and parts words for the tokenizer, so the ids of a text are those of its words one after the
+    other; so it is with the runs of lower-cased letters and of other characters in a plain word. Ids of words and runs met
+    before are kept until there are ``held`` of them; longer ones than ``longest`` are not kept.
+    """
+
+    def __init__(self, tokenizer, held: int = 300_000, longest: int = 64):
+        self.tokenizer, self.held, self.longest = tokenizer, held, longest
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _keep(self, table: dict[str, bytes], text: str, ids: bytes) -> bytes:
+        if len(text) <= self.longest:
+            if len(table) >= self.held:
+                table.clear()
+            table[text] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            if run.isascii() and run.isalpha():  # a token of its own for the model, byte for byte
+                found = [token.id for token in self.tokenizer.model.tokenize(run)]
+            else:
+                found = self.tokenizer.encode(run, add_special_tokens=False).ids
+            ids = self._keep(self.runs, run, struct.pack(f"<{len(found)}I", *found))
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                ids = b"".join(map(self._run, _RUNS.findall(word.lower())))
+            else:
+                found = self.tokenizer.encode(word, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self._keep(self.known, word, ids)
+        return ids
+
+    def of(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        out = []
+        for part in parts(text):
+            words = part.replace("\n", " ").replace("\t", " ").split(" ")
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [self._word(word) if ids is None else ids for word, ids in zip(words, found)]
+            out.append(b"".join(found))
+        return b"".join(out)
 
 
 def _pieces(plan: PackingPlan, schema: pa.Schema):
-    def flush(tokenizer, keys, texts):
-        key_at, piece, start, length, crc = [], [], [], [], []
-        for at, ids in enumerate(token_ids(tokenizer, texts, plan.end_id)):
-            for number, begin in enumerate(range(0, len(ids), plan.capacity)):
-                run = ids[begin : begin + plan.capacity]
-                key_at.append(at)
-                piece.append(number)
-                start.append(begin)
-                length.append(len(run))
-                crc.append(zlib.crc32(run.tobytes()))
-        columns = [keys.take(pa.array(key_at, pa.int64())), piece, start, length, crc]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema)], schema=schema)
+    width, end = 4 * plan.capacity, np.array([plan.end_id], "<u4").tobytes()
 
     def run(batches):
         tokenizer = _load(plan.tokenizer)
+        ids_of = WordIds(tokenizer).of if plan.by_words else lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for batch in batches:
             keys, column = batch.column("doc_id"), batch.column("text")
-            begin, texts, held = 0, [], 0
-            for row in range(batch.num_rows):
-                text = column[row].as_py() or ""
-                texts.append(text)
-                held += len(text)
-                if held >= CHUNK_CHARS:
-                    yield flush(tokenizer, keys.slice(begin, len(texts)), texts)
-                    begin, texts, held = row + 1, [], 0
-            if texts:
-                yield flush(tokenizer, keys.slice(begin, len(texts)), texts)
+            key_at, piece, start, length, crc = [], [], [], [], []
+            for at in range(batch.num_rows):
+                ids = ids_of(column[at].as_py() or "") + end
+                for number, begin in enumerate(range(0, len(ids), width)):
+                    run_ = ids[begin : begin + width]
+                    key_at.append(at)
+                    piece.append(number)
+                    start.append(begin // 4)
+                    length.append(len(run_) // 4)
+                    crc.append(zlib.crc32(run_))
+            columns = [keys.take(pa.array(key_at, pa.int64()))]
+            columns += [pa.array(values, field.type) for values, field in zip((piece, start, length, crc), list(schema)[1:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

@@ -3,21 +3,27 @@
 The trie is a table of edges ``(parent, label, child)``. A node is a prefix, known by its digest; only prefixes where words
 part or end are nodes, so a label may hold many letters and even a word of a million letters has few nodes. The frontier
 is a table of states ``(word, position, node, edits)``: ``position`` letters of the word have been read on the way to
-``node``. One level joins all states with the edges of their nodes:
+``node``. States without an edit are the nodes on the word's own path, which building the trie yields. One level joins all
+states with the edges of their nodes:
 
-* a state without an edit follows the label that the word continues with; on every other label the first difference lies
-  inside, so the edit must be there: replaced, missing or additional letter;
-* a state with an edit follows the only label that begins with the word's next letter, and only if it matches.
+* a state without an edit takes its edit where the word first differs from a label: another letter, or a letter too many;
+* a state with an edit follows the only label that begins with the word's next letter, if all of it matches.
 
-States that read their word to its end at a word's node, with one edit, are pairs of neighbours.
+States that have read their word to its end at a word's node, with one edit, are pairs. A pair is sought from one side only,
+from the longer word or from the one with the smaller letter, and then turned round as well.
 
-Nodes near the root are read by many words. Their edges (nodes below which at least a thousandth of the vocabulary lies) are
-broadcast if they are few enough, and joined by shuffle otherwise; all other nodes are joined by shuffle.
+Near the root a node has many words and many edges. So words are read from both ends, in a trie of the words and in one of the
+reversed words: a pair differs first in the second half of the word from one side or the other, so either trie seeks only the
+edits behind the middle, where few words are left. Edges of nodes that still hold a thousandth of the vocabulary are
+broadcast if they are few enough and joined by shuffle otherwise; all other nodes are joined by shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +34,6 @@ from pyspark.sql import functions as F
 
 from jetloom.llm.staging import narrow, staged
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROOT = hashlib.sha256(b"").digest()[:16]
 #: A node is near the root if it lies above this share of the vocabulary.
 TOP_SHARE = 1e-3
@@ -37,6 +42,8 @@ TOP_EDGES = 100_000
 TOP_CHARS = 4_000_000
 #: Prefixes in one Arrow batch.
 BATCH = 50_000
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
 
 
 @dataclass(frozen=True)
@@ -57,27 +64,48 @@ class SpellingPlan:
 QUERY_PLAN = SpellingPlan(damage=199)
 
 
-def _damaged(run: Column, doc_id: Column, every: int) -> Column:
-    """``run`` without one code point if ``every`` divides the checksum of ``<doc_id>:<run>``."""
-    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
-    size = F.char_length(run)
-    at = F.pmod(h, size.cast("long")).cast("int")
-    without = F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2, size))
-    return F.when(h % every == 0, without).otherwise(run)
+def _word_counts(plan: SpellingPlan):
+    """Words of a batch of texts with their counts, summed as far as ``COUNTED`` distinct words go."""
+    # A run shorter than a word cannot become one: at most a letter is deleted.
+    runs = re.compile(f"{plan.letters}{{{plan.least_length},}}")
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for row in range(batch.num_rows):
+                text = texts[row].as_py()
+                if not text:
+                    continue
+                # Lowering bytes touches A to Z only.
+                found = Counter(match[0] for match in runs.finditer(text.encode().lower().decode()))
+                if plan.damage:
+                    doc = ids[row].as_py()
+                    start = zlib.crc32(b":" if doc is None else f"{doc}:".encode())
+                    for word in [w for w in found if zlib.crc32(w.encode(), start) % plan.damage == 0]:
+                        at = zlib.crc32(word.encode(), start) % len(word)
+                        if len(word) > plan.least_length:
+                            counts[word[:at] + word[at + 1 :]] += found[word]
+                        del found[word]
+                counts.update(found)
+                if len(counts) >= COUNTED:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    return run
 
 
 def vocabulary(docs: DataFrame, plan: SpellingPlan) -> DataFrame:
-    """``(word, n)``: runs of letters with ASCII capitals lowered, counted over whole texts; copies collapse map-side."""
-    # A run shorter than a word cannot become one: at most a letter is deleted.
-    pattern = f"{plan.letters}{{{plan.least_length},}}"
-    runs = narrow(docs, doc_id="doc_id", text="text").select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("run")
-    )
-    lowered = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, UPPER.lower())).otherwise(F.col("run"))
-    word = _damaged(F.col("run"), F.col("doc_id"), plan.damage) if plan.damage else F.col("run")
-    words = runs.select("doc_id", lowered.alias("run")).select(word.alias("word"))
-    words = words.filter(F.char_length("word") >= plan.least_length)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= plan.least_count)
+    """``(word, n)``: runs of letters with ASCII capitals lowered, counted over whole texts; tasks sum up before the shuffle."""
+    parts = narrow(docs, doc_id="doc_id", text="text").mapInArrow(_word_counts(plan), "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= plan.least_count)
 
 
 def _digest(text: Column) -> Column:
@@ -109,11 +137,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def trie_edges(words: DataFrame, size: int) -> DataFrame:
-    """Edge table ``parent, child, label, first, ending, above, below, leaf`` of the vocabulary ``words(key, word)``.
+def trie_paths(words: DataFrame, size: int) -> DataFrame:
+    """Nodes on the path of every word of ``words(key, word)``: ``key, child, depth, parent, from, above, below, ends, chosen``.
 
-    ``ending`` is the word that ends at the child, or NULL; ``above`` and ``below`` count the words under parent and child.
-    Every child takes its label from one of its words.
+    ``above`` and ``below`` count the words under the parent and the child, ``ends`` says that a word ends at the child, and
+    ``chosen`` marks one word per child, which labels its edge.
     """
     rows = staged(words.select("key", "word").mapInArrow(_prefixes, "key binary, prefix binary, depth int, next int"), "prefixes")
     ticket = F.xxhash64("key")
@@ -123,23 +151,27 @@ def trie_edges(words: DataFrame, size: int) -> DataFrame:
         .filter((F.col("low") == -1) | (F.col("low") != F.col("high")))
     )
     path = W.partitionBy("key").orderBy("depth")
-    edges = (
+    return (
         rows.select("key", "prefix", "depth").join(nodes, "prefix")
         .select(
-            "key", "depth", "below", "ticket", F.col("prefix").alias("child"), (F.col("low") == -1).alias("ends"),
+            "key", "depth", "below", F.col("prefix").alias("child"), (F.col("low") == -1).alias("ends"), (ticket == F.col("ticket")).alias("chosen"),
             F.lag("prefix", 1, None).over(path).alias("parent"), F.lag("depth", 1, 0).over(path).alias("from"),
             F.lag("below", 1, size).over(path).alias("above"),
         )
-        .filter(ticket == F.col("ticket"))
+        .withColumn("parent", F.coalesce("parent", F.lit(ROOT)))
     )
+
+
+def trie_edges(paths: DataFrame) -> DataFrame:
+    """Edge table ``parent, child, label, first, ending, above, below, leaf`` of the paths with their ``word``.
+
+    ``ending`` is the word that ends at the child, or NULL; below a leaf there is nothing more.
+    """
     label = F.substr("word", F.col("from") + 1, F.col("depth") - F.col("from"))
-    return (
-        edges.join(words.select("key", "word"), "key")
-        .select(
-            F.coalesce("parent", F.lit(ROOT)).alias("parent"), "child", label.alias("label"), F.substr(label, F.lit(1), F.lit(1)).alias("first"),
-            F.when(F.col("ends"), F.substr("word", F.lit(1), F.col("depth"))).alias("ending"),
-            "above", "below", (F.col("ends") & (F.col("below") == 1)).alias("leaf"),
-        )
+    return paths.filter("chosen").select(
+        "parent", "child", label.alias("label"), F.substr(label, F.lit(1), F.lit(1)).alias("first"),
+        F.when(F.col("ends"), F.substr("word", F.lit(1), F.col("depth"))).alias("ending"),
+        "above", "below", (F.col("ends") & (F.col("below") == 1)).alias("leaf"),
     )
 
 
@@ -153,81 +185,87 @@ def _shared(a: Column, b: Column, size: Column) -> Column:
     return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), longer)
 
 
-def _step(met: DataFrame, edits: int, top: float) -> DataFrame:
-    """Children of the states joined with edges; those that neither end nor lead on are left out."""
-    at, label, width = F.col("position"), F.col("label"), F.char_length("label")
-    left = F.char_length("word") - at
-
-    def state(position: Column, edits_: int) -> Column:
-        return F.struct(position.cast("int").alias("position"), F.lit(edits_).alias("edits"))
-
-    same = F.substr("word", at + 1, width) == label
-    if edits:
-        met = met.filter(same).withColumn("next", state(at + width, 1))
-    else:
-        common = F.when(width == 1, F.lit(0)).otherwise(_shared(F.substr("word", at + 1, width), label, F.least(width, left)))
-        met = met.withColumn("common", F.when(same, width).otherwise(common))
-        p = F.col("common")
-
-        def after(skipped: int, label_skipped: int) -> Column:
-            """The state past the label if, beyond the first difference, the word goes on like the label."""
-            rest = width - p - label_skipped
-            fits = (left >= p + skipped + rest) & (F.substr("word", at + p + skipped + 1, rest) == F.substr(label, p + label_skipped + 1, rest))
-            return F.when(fits, state(at + p + skipped + rest, 1))
-
-        # Another letter, a letter that the word lacks, a letter that it has too many.
-        inside = F.filter(F.array(after(1, 1), after(0, 1), after(1, 0)), lambda s: s.isNotNull())
-        met = met.withColumn("next", F.explode(F.when(same, F.array(state(at + width, 0))).otherwise(inside)))
-    position, done = F.col("next.position"), F.col("next.edits")
+def _edited(met: DataFrame) -> DataFrame:
+    """States without an edit, joined with edges, past the first difference: adds their ``position`` at the child."""
+    at, label, width, size = F.col("position"), F.col("label"), F.char_length("label"), F.char_length("word")
+    left = size - at
+    next_ = F.substr("word", at + 1, F.lit(1))
+    inside = _shared(F.substr("word", at + 1, width), label, F.least(width, left))
+    met = met.withColumn("p", F.when(next_ != F.col("first"), F.lit(0)).when(width == 1, F.lit(1)).otherwise(inside))
+    # The word itself goes on along the whole label, or ends on it: no difference here.
+    met = met.filter((F.col("p") < F.least(width, left)) & (at + F.col("p") >= F.col("middle")))
+    p = F.col("p")
+    letter, other = F.substr("word", at + p + 1, F.lit(1)), F.substr(label, p + 1, F.lit(1))
+    replaced = (letter < other) & (left >= width) & (F.substr("word", at + p + 2, width - p - 1) == F.substr(label, p + 2, width))
+    surplus = (left > width) & (F.substr("word", at + p + 2, width - p) == F.substr(label, p + 1, width))
+    ends = F.filter(
+        F.array(F.when(replaced, (at + width).cast("int")), F.when(surplus, (at + width + 1).cast("int"))), lambda e: e.isNotNull()
+    )
+    return met.withColumn("position", F.explode(ends))
+
+
+def _followed(met: DataFrame) -> DataFrame:
+    """States with an edit, joined with the edge of their next letter, at the child if the label matches."""
+    at, width = F.col("position"), F.char_length("label")
+    return met.filter(F.substr("word", at + 1, width) == F.col("label")).withColumn("position", (at + width).cast("int"))
+
+
+def _arrived(met: DataFrame, share: float) -> DataFrame:
+    """What is left of states that reached a child: pairs, and states that can go on."""
     size = F.char_length("word")
-    pair = F.col("ending").isNotNull() & (((done == 1) & (position == size)) | ((done == 0) & (position == size - 1)))
-    on = ~F.col("leaf") & ((done == 0) | (position < size))
+    pair = F.col("ending").isNotNull() & (F.col("position") == size)
     return met.select(
-        "word", position.alias("position"), F.col("child").alias("node"), done.alias("edits"),
-        F.when(pair, F.col("ending")).alias("near"), on.alias("on"), (F.col("below") >= top).alias("crowded"),
+        "word", "position", F.col("child").alias("node"), F.when(pair, F.col("ending")).alias("near"),
+        (~F.col("leaf") & (F.col("position") < size)).alias("on"), (F.col("below") >= share).alias("crowded"),
     ).filter(F.col("on") | F.col("near").isNotNull())
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """Ordered pairs ``(word, near)`` of the distinct ``words(word)`` that are exactly one edit apart."""
-    words = staged(words.select("word", _digest(F.col("word")).alias("key")), "words")
-    size = words.count()
-    edges = staged(trie_edges(words, size), "edges")
+def _pairs_behind_the_middle(words: DataFrame, size: int, backwards: bool) -> DataFrame:
+    """Pairs ``(word, near)`` whose first difference, from the longer word or the smaller letter, lies behind the middle."""
+    half = F.floor(F.char_length("word") / 2).cast("int")
+    if backwards:
+        words, half = words.withColumn("word", F.reverse("word")), F.char_length("word") - half
+    words = words.select("word", _digest(F.col("word")).alias("key"))
+    paths = staged(trie_paths(words, size).join(words, "key"), "paths")
+    edges = staged(trie_edges(paths), "edges")
     share = size * TOP_SHARE
     upper = edges.filter(F.col("above") >= share)
-    count, chars = upper.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("label") + F.coalesce(F.char_length("ending"), F.lit(0))), F.lit(0))).first()
+    chars = F.sum(F.char_length("label") + F.coalesce(F.char_length("ending"), F.lit(0)))
+    count, chars = upper.agg(F.count(F.lit(1)), F.coalesce(chars, F.lit(0))).first()
     split = count <= TOP_EDGES and chars <= TOP_CHARS
-    pools = [(True, F.broadcast(upper)), (False, edges.filter(F.col("above") < share))] if split else [(None, edges)]
+    pools = [(F.col("crowded"), F.broadcast(upper)), (~F.col("crowded"), edges.filter(F.col("above") < share))] if split else [(F.lit(True), edges)]
 
-    states = words.select("word", F.lit(0).alias("position"), F.lit(ROOT).alias("node"), F.lit(0).alias("edits"), F.lit(True).alias("crowded"))
-    found = []
+    # A path's row names the edge into its child: the word meets other edges at the parent, behind the middle only if the child is.
+    own = paths.filter(F.col("depth") > half).select(
+        "word", F.col("from").alias("position"), F.col("parent").alias("node"), half.alias("middle"), (F.col("above") >= share).alias("crowded")
+    )
+    shorter = paths.filter(F.col("ends") & (F.col("depth") == F.char_length("word") - 1))
+    found = [shorter.select("word", F.substr("word", F.lit(1), F.col("depth")).alias("near"))]
+    steps = [_edited(own.filter(here).drop("crowded").join(pool, F.col("node") == F.col("parent"))) for here, pool in pools]
     while True:
-        steps = []
-        for crowded, pool in pools:
-            here = states if crowded is None else states.filter(F.col("crowded") == crowded)
-            plain, edited = here.filter("edits = 0"), here.filter("edits = 1")
-            head = F.substr("word", F.col("position") + 1, F.lit(1))
-            steps.append(_step(plain.drop("edits", "crowded").join(pool, plain["node"] == pool["parent"]), 0, share))
-            edited = edited.drop("edits", "crowded").withColumn("head", head)
-            steps.append(_step(edited.join(pool, (edited["node"] == pool["parent"]) & (edited["head"] == pool["first"])), 1, share))
-        level = steps[0]
+        level = _arrived(steps[0], share)
         for step in steps[1:]:
-            level = level.unionByName(step)
+            level = level.unionByName(_arrived(step, share))
         level = staged(level, "frontier")
         found.append(level.filter(F.col("near").isNotNull()).select("word", "near"))
-        states = level.filter("on").select("word", "position", "node", "edits", "crowded")
+        states = level.filter("on")
         if states.limit(1).count() == 0:
             break
+        states = states.select("word", "position", "node", "crowded", F.substr("word", F.col("position") + 1, F.lit(1)).alias("head"))
+        met = (F.col("node") == F.col("parent")) & (F.col("head") == F.col("first"))
+        steps = [_followed(states.filter(here).drop("crowded").join(pool, met)) for here, pool in pools]
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    # Digests lead the way; the pair itself is compared.
-    word, near = F.col("word"), F.col("near")
-    a, b = F.char_length(word), F.char_length(near)
-    compared = pairs.distinct().withColumn("p", _shared(word, near, F.least(a, b)))
-    rest_of_word = F.substr(word, F.col("p") + 1 + (a >= b).cast("int"), a)
-    rest_of_near = F.substr(near, F.col("p") + 1 + (b >= a).cast("int"), b)
-    return compared.filter((F.abs(a - b) <= 1) & (rest_of_word == rest_of_near) & (word != near)).select("word", "near")
+    return pairs.select(F.reverse("word").alias("word"), F.reverse("near").alias("near")) if backwards else pairs
+
+
+def near_pairs(words: DataFrame) -> DataFrame:
+    """Ordered pairs ``(word, near)`` of the distinct ``words(word)`` that are exactly one edit apart."""
+    words = words.select("word")
+    size = words.count()
+    pairs = _pairs_behind_the_middle(words, size, False).union(_pairs_behind_the_middle(words, size, True))
+    return pairs.union(pairs.select("near", "word")).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -62,6 +62,14 @@ def test_packing_against_plain_ids(spark, cell_items, fan):
     assert len(bins) <= len(fills) * 1.04 + 1
 
 
+def test_words_of_the_documents_have_the_ids_of_the_texts(spark, sf_dir):
+    tokenizer = packing._load(packing.PackingPlan().tokenizer)
+    by_words = packing.WordIds(tokenizer)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for text, whole in zip(texts, tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert np.frombuffer(by_words.of(text or ""), "<u4").tolist() == whole.ids
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], f"doc_id long, text string, {EXTRA}")).collect() == []
 
@@ -73,8 +81,10 @@ def test_long_text_in_parts_has_the_same_ids(spark):
     tokenizer = packing._load(plan.tokenizer)
     cuts = packing.parts(text, 700)
     assert len(cuts) > 20 and "".join(cuts) == text
-    ids = [i for part in cuts for i in tokenizer.encode(part, add_special_tokens=False).ids]
-    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    for held in (50, 200_000):
+        by_words = packing.WordIds(tokenizer, held=held, longest=6)
+        for sample in (text, text[:500], "", " ", "<|endoftext|>a \u0301b\u00a0c\td\x1fe\r\n 's I'LL \u2009x", "A" * 50):
+            assert np.frombuffer(by_words.of(sample), "<u4").tolist() == tokenizer.encode(sample, add_special_tokens=False).ids
     assert packing.parts("a" * 2000, 700) == ["a" * 2000]
     long = packing.pack(spark.createDataFrame([(1, text * 40)], "doc_id long, text string"), plan).collect()
     check_packing([(1, text * 40)], long, plan)
