@@ -44,6 +44,8 @@ TOP_CHARS = 4_000_000
 BATCH = 50_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
+#: Letters of a text whose runs are listed at once; those of a longer one are counted as they are found.
+LISTED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,8 @@ def _word_counts(plan: SpellingPlan):
                 if not text:
                     continue
                 # Lowering bytes touches A to Z only.
-                found = Counter(match[0] for match in runs.finditer(text.encode().lower().decode()))
+                lowered = text.encode().lower().decode()
+                found = Counter(runs.findall(lowered) if len(lowered) <= LISTED else (match[0] for match in runs.finditer(lowered)))
                 if plan.damage:
                     doc = ids[row].as_py()
                     start = zlib.crc32(b":" if doc is None else f"{doc}:".encode())
