@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jetloom.functions.pvalues import correlation_pvalue, kolmogorov_pvalue
+from jetloom.operators.order_statistics import BUCKETS, interpolated
 from jetloom.session import stage
 
 # A value held by at least 1/HOT_SHARE of the rows (or a quarter of a fair share of a
@@ -220,10 +221,14 @@ def quantiles_of(table: DataFrame, probabilities: Sequence[float], weight: str =
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int | None = None
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
-    """(series, q, value) for every column and probability, ``numpy.quantile`` rules."""
-    return quantiles_of(cumulate(value_counts(df, columns), ["n"], ranges), probabilities)
+    """(series, q, value) for every column and probability, ``numpy.quantile`` rules.
+
+    Found by refinement of bucket counts: no distinct value is shuffled on its own until few rows are left.
+    """
+    rows = interpolated(df, columns, probabilities, buckets or BUCKETS)
+    return df.sparkSession.createDataFrame(rows, "series string, q double, value double")
 
 
 # ---------------------------------------------------------------- ranks

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.operators.metrics import r2
-from jetloom.session import checkpoint_root, stage_path
+from jetloom.session import checkpoint_root, stage, stage_path
 
 log = logging.getLogger(__name__)
 
+#: Rounds of the first run of boosting: enough to see whether a single tree already fits without error.
+FIRST_ROUNDS = 10
+
 
 @dataclass(frozen=True)
 class BoostedTreesConfig:
@@ -29,7 +33,8 @@ class BoostedTreesConfig:
     feature_share: float = 0.8
     seed: int = 42
     checkpoint_every: int = 10
-    validation_tol: float = 0.01
+    patience: int = 50
+    partition_rows: int = 50_000
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
@@ -37,6 +42,40 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
+def patience_cut(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Number of the best round before ``patience`` rounds passed without a better one, and whether they have passed.
+
+    An error of zero cannot be bettered and counts as waited out.
+    """
+    best, lowest = 0, math.inf
+    for number, error in enumerate(errors, 1):
+        if error < lowest:
+            best, lowest = number, error
+        elif number - best >= patience:
+            return best, True
+    return best, lowest == 0
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The boosted model after its first ``count`` rounds."""
+    sc = _session().sparkContext
+    jvm, java = sc._jvm, model._java_obj
+    trees, weights = java.trees(), java.treeWeights()
+    kept = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    kept_weights = sc._gateway.new_array(jvm.double, count)
+    for i in range(count):
+        kept[i], kept_weights[i] = trees[i], weights[i]
+    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, kept_weights)
+    return model._copyValues(GBTRegressionModel(cut))
+
+
+def _few_partitions(rows: DataFrame, size: int) -> DataFrame:
+    """``rows``, staged, in no more partitions than their number asks for: every level of a tree is a job over all of them."""
+    rows = stage(rows)
+    wanted = max(1, -(-rows.count() // size))
+    return rows.coalesce(wanted) if wanted < rows.rdd.getNumPartitions() else rows
+
+
 def train_boosted_trees(
     rows: DataFrame,
     features: Sequence[str],
@@ -44,11 +83,16 @@ def train_boosted_trees(
     validation: str | None = None,
     config: BoostedTreesConfig = BoostedTreesConfig(),
 ) -> PipelineModel:
-    """Boosted regression trees; ``validation`` names a boolean column for early stopping."""
+    """Boosted regression trees; ``validation`` names a boolean column for early stopping (NULL means training).
+
+    With validation rows, boosting ends when ``config.patience`` rounds have not lowered their squared error, and the
+    model is cut back to its best round. The error of every round is measured in one pass over the validation rows.
+    Training goes in growing runs: a run that has not waited out its patience is followed by one of twice the rounds,
+    which repeats the earlier rounds exactly (same seeds), so the whole costs at most about twice the last run.
+    """
     checkpoint_root(rows.sparkSession)  # many rounds cut their lineage there
-    early_stop = {}
-    if validation is not None:
-        early_stop = {"validationIndicatorCol": validation, "validationTol": config.validation_tol}
+    assembler = _assembler(features)
+
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -60,9 +104,25 @@ def train_boosted_trees(
         featureSubsetStrategy=str(config.feature_share),
         seed=config.seed,
         checkpointInterval=config.checkpoint_every,
-        **early_stop,
     )
-    return Pipeline(stages=[_assembler(features), trees]).fit(rows)
+    if validation is None:
+        return PipelineModel([assembler, trees.fit(assembler.transform(rows))])
+
+    held = F.coalesce(F.col(validation), F.lit(False))
+    columns = dict.fromkeys([*features, target])
+    training = assembler.transform(_few_partitions(rows.where(~held).select(*columns), config.partition_rows))
+    held_out = assembler.transform(_few_partitions(rows.where(held).select(*columns), config.partition_rows))
+    rounds = min(FIRST_ROUNDS, config.rounds)
+    while True:
+        model = trees.fit(training, {trees.maxIter: rounds})
+        errors = model.evaluateEachIteration(held_out, "squared")
+        best, waited = patience_cut(errors, config.patience)
+        log.info("boosting: best of %d rounds is %d, validation mse %g", rounds, best, errors[best - 1] if best else math.nan)
+        if waited or rounds >= config.rounds:
+            break
+        rounds = min(config.rounds, max(2 * rounds, config.patience + FIRST_ROUNDS))
+    # Without validation rows there is no best round: all are kept.
+    return PipelineModel([assembler, first_trees(model, best) if best else model])
 
 
 def train_bounded(

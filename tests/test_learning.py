@@ -152,6 +152,31 @@ def test_boosted_trees(table, boosted):
     assert counts == {f: debug.count(f"If (feature {i} ") for i, f in enumerate(FEATURES)}
 
 
+def test_patience_sees_past_a_plateau():
+    falling = [1.0, 0.9, 0.9, 0.95, 0.9, 0.5, 0.6, 0.6, 0.6]
+    assert ML.patience_cut(falling, 4) == (6, False)  # falls again within the patience
+    assert ML.patience_cut(falling, 3) == (2, True)
+    assert ML.patience_cut(falling + [0.6], 4) == (6, True)
+    assert ML.patience_cut([0.3, 0.0], 50) == (2, True)
+    assert ML.patience_cut([], 3) == (0, False) and ML.patience_cut([float("nan")], 3) == (0, False)
+
+
+def test_boosting_waits_and_keeps_the_best_round(spark, table, monkeypatch):
+    rows = add_split(table).where("split != 'test'").withColumn("held", F.col("split") == "validation")
+    noisy = rows.withColumn("y", F.col("y") + (F.pmod(F.xxhash64("event_id"), F.lit(1000)) - 500) / 1000)
+    monkeypatch.setattr(ML, "FIRST_ROUNDS", 4)
+    seen = []
+    cut = ML.patience_cut
+    monkeypatch.setattr(ML, "patience_cut", lambda errors, patience: seen.append((list(errors), cut(errors, patience))) or seen[-1][1])
+    model = ML.train_boosted_trees(noisy, FEATURES, "y", "held", ML.BoostedTreesConfig(rounds=40, max_depth=5, patience=5, learning_rate=0.5))
+    errors, (best, waited) = seen[-1]
+    assert waited and len(seen) > 1 and best == model.stages[-1].getNumTrees < len(errors)
+    for shorter, _ in seen[:-1]:
+        assert errors[: len(shorter)] == pytest.approx(shorter, rel=1e-9)  # a longer run repeats the shorter one
+    held = ML.regression_metrics(ML.score(model, noisy.where("held"), "p"), "y", "p").first()
+    assert held["val_mse"] == pytest.approx(min(errors), rel=1e-9)
+
+
 def test_bounded_regressor_stays_in_bounds(spark, table):
     model = ML.train_bounded(table, FEATURES, "y")
     wild = table.withColumn("a", F.col("a") * 100)
