@@ -9,7 +9,8 @@ they share with another context, and what a whole group shares becomes one symbo
 
 Equal contexts are one entry with a count, equal texts are one text. A core with more than ``MEMBERS`` different
 contexts is split by longer cores (bytes to the left and right of it), down to whole strings if need be, so a task's
-group is bounded and exact whatever the number of occurrences.
+group is bounded and exact whatever the number of occurrences. Inside its task a group of more than ``SYMBOLS`` symbols is
+taken apart in the same way, one part after the other, so what a suffix array holds is bounded too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from jetloom.llm.text import chunks, prefix_hash, range_hash, text_bytes
 
 #: Different contexts of a core that one group may hold.
 MEMBERS = 20_000
+#: Symbols that one suffix array may sort: some 70 MB of a task. A group with more is taken apart inside its task.
+SYMBOLS = 200_000
 #: Splits of the range of window starts: two rounds lead from 201 starts to single ones.
 WAYS = 16
 
@@ -150,21 +153,23 @@ def _longest_shared(order: list[int], lcp: np.ndarray) -> np.ndarray:
 
 
 def _pieces(strings: list[bytes]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefixes as runs of pieces: ``(shared by all, ends of the pieces, class of each string up to each end, longest shared)``.
+    """Prefixes as runs of pieces: ``(shared by all, ends of the pieces, class of each string (row) up to each end, longest shared)``.
 
     Two strings that agree beyond one end agree up to the next, so pieces stand for their bytes.
     """
     order, lcp = _common_with_next(strings)
     shared = int(lcp.min())
     ends = np.unique(lcp[lcp > shared])
-    classes = np.zeros((len(ends), len(strings)), np.int64)
-    classes[:, order] = np.concatenate((np.zeros((len(ends), 1), np.int64), np.cumsum(lcp[None, :] < ends[:, None], axis=1)), axis=1)
+    classes = np.zeros((len(strings), len(ends)), np.int32)
+    classes[order[1:]] = np.cumsum(lcp[:, None] < ends[None, :], axis=0, dtype=np.int32)
     return shared, ends, classes, _longest_shared(order, lcp)
 
 
-def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length: int) -> list[tuple[int, int] | None]:
+def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length: int, most: int | None = None) -> list[tuple[int, int] | None] | None:
     """Per context of a common core: the largest and smallest distance before the core at which a repeated string starts.
 
+    None if the contexts take more than ``most`` symbols.
+
     A string of ``length`` bytes that starts ``l`` bytes before the core and holds it is repeated when another context
     has the same ``l`` bytes to the left and the same rest to the right.
     """
@@ -183,16 +188,18 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length:
     n_right = np.searchsorted(right_ends, right_most, side="right")
     # A context is its left pieces, one symbol for the core with what all share around it, its right pieces, an end mark.
     many = len(open_)
-    left_symbol = (left_class + np.arange(len(left_ends))[:, None] * many).T.tolist()
-    right_symbol = (right_class + (len(left_ends) + np.arange(len(right_ends)))[:, None] * many).T.tolist()
+    if most is not None and int(n_left.sum() + n_right.sum()) + 2 * many > most:
+        return None
+    left_class += (np.arange(len(left_ends)) * many).astype(np.int32)
+    right_class += ((len(left_ends) + np.arange(len(right_ends))) * many).astype(np.int32)
     middle_symbol = (len(left_ends) + len(right_ends)) * many
     symbols: list[int] = []
     middle: list[int] = []
     for m in range(many):
-        symbols += left_symbol[m][: n_left[m]][::-1]
+        symbols += left_class[m, : n_left[m]][::-1].tolist()
         middle.append(len(symbols))
         symbols.append(middle_symbol)
-        symbols += right_symbol[m][: n_right[m]]
+        symbols += right_class[m, : n_right[m]].tolist()
         symbols.append(middle_symbol + 1 + m)
     order = suffix_array(symbols)
     lcp = [*common_prefixes(symbols, order), 0]
@@ -219,37 +226,63 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], core: int, length:
 SOLVED = "key long, context binary, far long, near long"
 
 
+def _ranges(lo: int, hi: int) -> list[tuple[int, int]]:
+    """``lo`` to ``hi`` in at most ``WAYS`` ranges."""
+    width = -(-(hi - lo + 1) // WAYS)
+    return [(a, min(hi, a + width - 1)) for a in range(lo, hi + 1, width)]
+
+
+def solved_group(plan: RepeatPlan, lo: int, hi: int, lefts: list[bytes], rights: list[bytes], members: list[int]) -> list[tuple[int, int, int]]:
+    """``(member, far, near)`` of the contexts ``members`` of one core, for strings that start ``lo`` to ``hi`` bytes before it."""
+    own: dict[tuple[bytes, bytes], list[int]] = {}
+    for m in members:
+        # The lengthened core takes ``lo`` bytes of the left and ``reach - hi`` of the right context.
+        cut_left = lefts[m][: len(lefts[m]) - lo][-(hi - lo) :] if hi > lo else b""
+        own.setdefault((cut_left, rights[m][plan.reach - hi : plan.reach - lo]), []).append(m)
+    pairs = list(own)
+    core = plan.core + lo + plan.reach - hi
+    found = repeated_starts([p[0] for p in pairs], [p[1] for p in pairs], core, plan.length, SYMBOLS if hi > lo else None)
+    rows: list[tuple[int, int, int]] = []
+    if found is None:
+        for a, b in _ranges(lo, hi):
+            by_core: dict[tuple[bytes, bytes], list[int]] = {}
+            for m in members:
+                left, right = lefts[m], rights[m]
+                if len(left) >= a and len(right) >= plan.reach - b:
+                    by_core.setdefault((left[len(left) - a :], right[: plan.reach - b]), []).append(m)
+            for same in by_core.values():
+                if len(same) > 1:
+                    rows += solved_group(plan, a, b, lefts, rights, same)
+        return rows
+    for pair, span in zip(pairs, found, strict=True):
+        if len(own[pair]) > 1 and len(pair[0]) + len(pair[1]) >= plan.length - core:
+            # The same cut context more than once: every string in it is repeated.
+            span = len(pair[0]), max(0, plan.length - core - len(pair[1]))
+        if span:
+            rows += [(m, lo + span[0], lo + span[1]) for m in own[pair]]
+    return rows
+
+
 def _solve(plan: RepeatPlan):
-    """One shard: every core's contexts through a suffix array of their own."""
+    """One shard: every core's contexts through suffix arrays of their own, core by core."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("lo", "ascending")])
-        part, lo_, hi_ = (table[c].to_pylist() for c in ("part", "lo", "hi"))
-        key, name, left, right = (table[c].to_pylist() for c in ("key", "context", "left", "right"))
-        rows = []
+        table = table.sort_by([("part", "ascending"), ("lo", "ascending")]).combine_chunks()
+        groups = list(zip(table["part"].to_pylist(), table["lo"].to_pylist()))
+        at, far, near = [], [], []
         start = 0
-        for k in range(1, len(part) + 1):
-            if k < len(part) and (part[k], lo_[k]) == (part[start], lo_[start]):
+        for k in range(1, len(groups) + 1):
+            if k < len(groups) and groups[k] == groups[start]:
                 continue
-            lo, hi = lo_[start], hi_[start]
-            own: dict[tuple[bytes, bytes], list[int]] = {}
-            for m in range(start, k):
-                # The lengthened core takes ``lo`` bytes of the left and ``reach - hi`` of the right context.
-                cut_left = left[m][: len(left[m]) - lo][-(hi - lo) :] if hi > lo else b""
-                cut_right = right[m][plan.reach - hi : plan.reach - lo]
-                own.setdefault((cut_left, cut_right), []).append(m)
-            pairs = list(own)
-            core = plan.core + lo + plan.reach - hi
-            found = repeated_starts([p[0] for p in pairs], [p[1] for p in pairs], core, plan.length)
-            for pair, span in zip(pairs, found, strict=True):
-                if len(own[pair]) > 1 and len(pair[0]) + len(pair[1]) >= plan.length - core:
-                    # The same cut context more than once: every string in it is repeated.
-                    span = len(pair[0]), max(0, plan.length - core - len(pair[1]))
-                if span:
-                    rows += [(key[m], name[m], lo + span[0], lo + span[1]) for m in own[pair]]
+            if k - start > 1:
+                own = table.slice(start, k - start)
+                rows = solved_group(plan, groups[start][1], own["hi"][0].as_py(), own["left"].to_pylist(), own["right"].to_pylist(), list(range(k - start)))
+                at += [start + m for m, _, _ in rows]
+                far += [f for _, f, _ in rows]
+                near += [n for _, _, n in rows]
             start = k
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "context", "far", "near"])
+        found = table.select(["key", "context"]).take(pa.array(at, pa.int64()))
+        return found.append_column("far", pa.array(far, pa.int64())).append_column("near", pa.array(near, pa.int64()))
 
     return run
 
@@ -263,9 +296,7 @@ def _split(plan: RepeatPlan):
             rows = []
             for k in range(batch.num_rows):
                 lo, hi, left, right = (columns[c][k] for c in ("lo", "hi", "left", "right"))
-                width = -(-(hi - lo + 1) // WAYS)
-                for a in range(lo, hi + 1, width):
-                    b = min(hi, a + width - 1)
+                for a, b in _ranges(lo, hi):
                     if len(left) < a or len(right) < plan.reach - b:
                         continue
                     grown = left[len(left) - a :] + b"|" + right[: plan.reach - b]

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,12 @@ from jetloom.llm.text import chunks, text_bytes
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens; email addresses and spaced card numbers fit.
 MAX_TOKENS = 15
+#: Characters of a long zone that are decoded together, and how far the next window lies.
+WINDOW, STEP = 480, 400
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Starts nowhere inside a run of digits: a match takes whole runs, and a long run is scanned once.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\w\s]|\s|\w")
@@ -67,10 +72,16 @@ def emails(text: str) -> list[Span]:
     return out
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, however many digits."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by kind as listed, then start (code points, end exclusive)."""
     out = emails(text)
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m.group().split(".")))]
     for m in CARD.finditer(text):
         digits = _digits(m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -103,7 +114,7 @@ def span_features(zone: str, start: int, end: int) -> np.ndarray:
     out[2] = EMAIL.fullmatch(s) is not None
     out[3] = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+", s))
     out[4] = IP.fullmatch(s) is not None
-    out[5] = bool(out[4]) and all(int(p) <= 255 for p in s.split("."))
+    out[5] = bool(out[4]) and all(map(_byte, s.split(".")))
     out[6] = CARD.fullmatch(s) is not None
     out[7] = 13 <= n <= 19
     out[8] = bool(out[6] and out[7]) and luhn(digits)
@@ -254,8 +265,12 @@ def _rewrites(zone: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def fit(texts: list[str], epochs: int = 12, rate: float = 0.4, ridge: float = 0.002, most: int = 400) -> SemiMarkovField:
-    """A field from base spans and their rewritten copies; at most ``most`` zones of each make-up are used."""
+def fit(texts: list[str], epochs: int = 12, rate: float = 0.4, ridge: float = 0.002, most: int = 50, longest: int = 120) -> SemiMarkovField:
+    """A field from base spans and their rewritten copies.
+
+    At most ``most`` zones of each make-up (kinds, rewritten or not, with or without letters) and none of more than
+    ``longest`` characters are learned from; both are bounds of the fit alone.
+    """
     seen: dict[tuple, int] = {}
     examples: list[tuple[Zone, dict[tuple[int, int], int]]] = []
     for text in texts:
@@ -269,7 +284,7 @@ def fit(texts: list[str], epochs: int = 12, rate: float = 0.4, ridge: float = 0.
                     chosen.append(s)
             for zone_text, gold_spans in _rewrites(m.group(), chosen):
                 make_up = tuple(sorted({s[0] for s in gold_spans})), zone_text != m.group(), bool(re.search("[A-Za-z]", zone_text))
-                if len(zone_text) > 120 or seen.get(make_up, 0) >= most // 8:
+                if len(zone_text) > longest or seen.get(make_up, 0) >= most:
                     continue
                 seen[make_up] = seen.get(make_up, 0) + 1
                 zone = zone_of(zone_text)
@@ -286,20 +301,59 @@ def fit(texts: list[str], epochs: int = 12, rate: float = 0.4, ridge: float = 0.
     return field
 
 
+class _Taken:
+    """Which stretches of a text lie in known spans, by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def covers(self, a: int, b: int) -> bool:
+        """Whether one span holds all of ``a`` to ``b``."""
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.ends[k] >= b
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a span overlaps ``a`` to ``b``."""
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+
+def decoded(whole: str, field: SemiMarkovField) -> list[Span]:
+    """Spans of a zone, decoded in windows of ``WINDOW`` characters.
+
+    A span that touches the inner end of a window may be a stump: the next window starts with it. Other windows start
+    ``STEP`` further, or where the last span ended.
+    """
+    out: list[Span] = []
+    lo, done = 0, 0
+    while True:
+        hi = min(len(whole), lo + WINDOW)
+        ahead = lo + STEP
+        for kind, a, b in sorted(field.decode(zone_of(whole[lo:hi])), key=lambda s: s[1]):
+            a, b = lo + a, lo + b
+            if hi < len(whole) and (a >= ahead or b == hi and a > lo):
+                ahead = min(a, ahead)
+                break
+            if a >= done:
+                out.append((KINDS[kind], a, b))
+                done = b
+        if hi == len(whole):
+            return out
+        lo = max(ahead, done, lo + 1)
+
+
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list[Span], list[Span]]:
     """``(base, added)`` spans of a text."""
     base = base_spans(text)
     added: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _Taken([(a, b) for _, a, b in base])
     for m in ZONE.finditer(text):
-        if all(any(a <= m.start() + t.start() and m.start() + t.end() <= b for a, b in taken) for t in re.finditer(r"[0-9]{2,}|@", m.group())):
+        at = m.start()
+        if all(taken.covers(at + t.start(), at + t.end()) for t in re.finditer(r"[0-9]+|@", m.group())):
             continue  # every number here belongs to a base span
-        whole = m.group()
-        for lo in range(0, len(whole), 400):
-            for kind, a, b in field.decode(zone_of(whole[lo : lo + 480])):
-                a, b = m.start() + lo + a, m.start() + lo + b
-                if all(b <= x or a >= y for x, y in taken) and all(b <= s[1] or a >= s[2] for s in added):
-                    added.append((KINDS[kind], a, b))
+        added += [(kind, at + a, at + b) for kind, a, b in decoded(m.group(), field) if not taken.meets(at + a, at + b)]
     return base, added
 
 
