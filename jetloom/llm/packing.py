@@ -79,6 +79,18 @@ _PLAIN = re.compile("[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
 
+_DIGIT = re.compile("[0-9]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: visible ones for themselves, the rest from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: 0x100 + k for k, byte in enumerate(b for b in range(256) if b not in visible)}
+
+
+_BYTES = _byte_letters()
+
+
 class WordIds:
     """Ids of texts by way of their words: what the tokenizer makes of a word does not depend on its neighbours.
 
@@ -102,8 +114,8 @@ class WordIds:
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
-            if run.isascii() and run.isalpha():  # a token of its own for the model, byte for byte
-                found = [token.id for token in self.tokenizer.model.tokenize(run)]
+            if _DIGIT.search(run) is None:  # a word of its own for the model, which reads bytes as letters
+                found = [token.id for token in self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(_BYTES))]
             else:
                 found = self.tokenizer.encode(run, add_special_tokens=False).ids
             ids = self._keep(self.runs, run, struct.pack(f"<{len(found)}I", *found))
