@@ -115,7 +115,8 @@ class WordIds:
         ids = self.runs.get(run)
         if ids is None:
             if _DIGIT.search(run) is None:  # a word of its own for the model, which reads bytes as letters
-                found = [token.id for token in self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(_BYTES))]
+                as_bytes = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+                found = [token.id for token in self.tokenizer.model.tokenize(as_bytes)]
             else:
                 found = self.tokenizer.encode(run, add_special_tokens=False).ids
             ids = self._keep(self.runs, run, struct.pack(f"<{len(found)}I", *found))
@@ -124,7 +125,9 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
+            if word.isascii() and word.isalpha():
+                ids = self._run(word.lower())
+            elif _PLAIN.fullmatch(word) and "<|" not in word:
                 ids = b"".join(map(self._run, _RUNS.findall(word.lower())))
             else:
                 found = self.tokenizer.encode(word, add_special_tokens=False).ids
