@@ -8,6 +8,7 @@ scoring never shuffles.
 from __future__ import annotations
 
 import json
+import logging
 import math
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jetloom.functions.kinematics import nan_low
@@ -36,6 +37,13 @@ BOTH = "iso_forest_anomaly AND reconstruction_anomaly"
 CODE_SIZE = 8
 # A fall of the log determinant that counts as one; smaller ones are rounding.
 C_STEP_TOL = 1e-9
+# Random starts of the robust covariance, the rows they concentrate on first, and those that go on to all rows.
+STARTS = 200
+START_SAMPLE = 1500
+KEPT_STARTS = 5
+
+LOG = logging.getLogger(__name__)
+Estimate = tuple[np.ndarray, np.ndarray]
 
 
 # ---------------------------------------------------------------- small vector algebra
@@ -184,27 +192,36 @@ def path_score(trees: list[dict[str, list]], columns: Sequence[Column], sample_s
 # ---------------------------------------------------------------- robust covariance
 
 
-def vector_moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and population covariance of an array column, one aggregation."""
+def _moments_of(rows: DataFrame, vector: str, *group: str) -> DataFrame:
     outer = F.flatten(
         F.transform(vector, lambda a: F.transform(vector, lambda b: a * b))
     )
-    row = (
-        rows.select(
-            array_to_vector(F.col(vector)).alias("_v"), array_to_vector(outer).alias("_vv")
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            Summarizer.mean(F.col("_v")).alias("mean"),
-            Summarizer.mean(F.col("_vv")).alias("second"),
-        )
-        .first()
+    vectors = rows.select(
+        *group, array_to_vector(F.col(vector)).alias("_v"), array_to_vector(outer).alias("_vv")
+    )
+    return vectors.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        Summarizer.mean(F.col("_v")).alias("mean"),
+        Summarizer.mean(F.col("_vv")).alias("second"),
     )
+
+
+def _unpacked(row: Row) -> tuple[int, np.ndarray, np.ndarray]:
     mean = row["mean"].toArray()
     second = row["second"].toArray().reshape(len(mean), len(mean))
     return row["n"], mean, second - np.outer(mean, mean)
 
 
+def vector_moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and population covariance of an array column, one aggregation."""
+    return _unpacked(_moments_of(rows, vector).first())
+
+
+def grouped_moments(rows: DataFrame, vector: str, group: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """:func:`vector_moments` of every group, one aggregation; for a few groups."""
+    return {row[group]: _unpacked(row) for row in _moments_of(rows, vector, group).collect()}
+
+
 def _whitener(cov: np.ndarray) -> np.ndarray:
     """W with W'W = pseudo-inverse of cov; directions without variance are dropped."""
     values, vectors = np.linalg.eigh(cov)
@@ -218,26 +235,111 @@ def mahalanobis(vector: Column, mean: np.ndarray, cov: np.ndarray) -> Column:
     return _sum_squares(_times(_whitener(cov), centered))
 
 
-def robust_covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+def _log_det(cov: np.ndarray) -> tuple[int, float]:
+    """Rank and log determinant on it: of two halves the flatter one, then the smaller one, is denser."""
+    values = np.linalg.eigvalsh(cov)
+    usable = values[values > max(values.max(), 0.0) * 1e-10]
+    return len(usable), float(np.log(usable).sum())
+
+
+def _falls(new: tuple[int, float], old: tuple[int, float]) -> bool:
+    return new[0] < old[0] or (new[0] == old[0] and new[1] < old[1] - C_STEP_TOL)
+
+
+def _distinct(estimates: list[Estimate]) -> list[Estimate]:
+    """Starts that have met count once."""
+    out: list[Estimate] = []
+    for mean, cov in estimates:
+        if not any(np.allclose(mean, m, atol=1e-9) and np.allclose(cov, c, rtol=1e-6, atol=1e-12) for m, c in out):
+            out.append((mean, cov))
+    return out
+
+
+def sample_starts(x: np.ndarray, starts: int, keep: int, seed: int) -> list[Estimate]:
+    """The ``keep`` densest estimates that random starts of features + 1 rows reach on a bounded sample.
+
+    Every start takes two concentration steps; the best go on to convergence.
+    """
+    n, d = x.shape
+    half = min(n, (n + d + 1) // 2)
+    rng = np.random.default_rng(seed)
+
+    def step(estimate: Estimate) -> Estimate:
+        mean, cov = estimate
+        distance = (((x - mean) @ _whitener(cov).T) ** 2).sum(axis=1)
+        near = x[np.argsort(distance, kind="stable")[:half]]
+        return near.mean(axis=0), np.cov(near.T, bias=True).reshape(d, d)
+
+    found = []
+    for _ in range(starts):
+        few = x[rng.choice(n, min(n, d + 1), replace=False)]
+        estimate = few.mean(axis=0), np.cov(few.T, bias=True).reshape(d, d)
+        found.append(step(step(estimate)))
+    found = sorted(_distinct(found), key=lambda e: _log_det(e[1]))[:keep]
+    settled = []
+    for estimate in found:
+        while True:
+            new = step(estimate)
+            if not _falls(_log_det(new[1]), _log_det(estimate[1])):
+                break
+            estimate = new
+        settled.append(estimate)
+    return sorted(_distinct(settled), key=lambda e: _log_det(e[1]))
+
+
+def _start_sample(rows: DataFrame, vector: str, n: int, size: int, seed: int) -> np.ndarray:
+    """About ``size`` vectors by hash: the bound comes before the sort, so no task meets more than a few times that."""
+    ticket = F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(TICKETS).cast("bigint"))
+    bound = int(TICKETS * min(1.0, (2 * size + 64) / max(n, 1)))
+    few = rows.select(vector, ticket.alias("_ticket")).where(F.col("_ticket") < F.lit(bound)).dropDuplicates([vector])
+    # At most `size` vectors.
+    return np.array([r[0] for r in few.orderBy("_ticket", vector).limit(size).select(vector).collect()], dtype="float64")
+
+
+def concentrate(rows: DataFrame, vector: str, estimates: list[Estimate], core: float) -> list[Estimate]:
+    """One concentration step of every estimate over all rows: one aggregation for the cuts, one for the moments."""
+    distances = F.array(*[mahalanobis(F.col(vector), mean, cov) for mean, cov in estimates])
+    measured = rows.select(vector, distances.alias("_d"))
+    cuts = measured.agg(*[F.percentile_approx(F.get("_d", F.lit(k)), core, 10_000) for k in range(len(estimates))]).first()
+    per_start = measured.select(vector, F.posexplode("_d").alias("_start", "_distance"))
+    near = per_start.where(F.col("_distance") <= F.get(_literal_vector(np.array(cuts)), F.col("_start")))
+    moments = grouped_moments(near, vector, "_start")
+    return [moments[k][1:] for k in range(len(estimates))]
+
+
+def robust_covariance(
+    rows: DataFrame, vector: str, starts: int = STARTS, sample_size: int = START_SAMPLE, seed: int = 42
+) -> Estimate:
     """Location and covariance of the densest half, then of all consistent rows.
 
-    Concentration steps: keep the rows nearest under the current estimate, re-estimate,
-    stop when the determinant no longer falls. It falls with every other step and there are
-    finitely many halves, so no bound on the steps is needed.
+    Random starts concentrate on a sample of ``sample_size`` rows; the best of them and the estimate from all rows
+    concentrate together on all rows: keep the rows nearest under the current estimate, re-estimate, leave a start when
+    its determinant no longer falls. It falls with every other step and there are finitely many halves, so no bound on
+    the steps is needed. The smallest determinant wins.
     """
-    n, mean, cov = vector_moments(rows, vector)
-    d = len(mean)
+    n, *everything = vector_moments(rows, vector)
+    d = len(everything[0])
     core = min(1.0, (n + d + 1) / 2.0 / n)
-    log_det = math.inf
-    while True:
-        distances = rows.withColumn("_d", mahalanobis(F.col(vector), mean, cov))
-        cut = distances.agg(F.percentile_approx("_d", core, 10_000)).first()[0]
-        _, new_mean, new_cov = vector_moments(distances.where(F.col("_d") <= F.lit(cut)), vector)
-        values = np.linalg.eigvalsh(new_cov)
-        new_log_det = float(np.log(values[values > values.max() * 1e-10]).sum())
-        if new_log_det >= log_det - C_STEP_TOL:
-            break
-        mean, cov, log_det = new_mean, new_cov, new_log_det
+    sample = _start_sample(rows, vector, n, sample_size, seed)
+    moving = [tuple(everything), *sample_starts(sample, starts, KEPT_STARTS, seed)]
+    # What a start brings from the sample or from all rows is no half of all rows yet.
+    moving = [(e, (d + 1, math.inf)) for e in moving]
+    settled: list[tuple[Estimate, tuple[int, float]]] = []
+    step = 0
+    while moving:
+        stepped = concentrate(rows, vector, [e for e, _ in moving], core)
+        step += 1
+        going, seen = [], []
+        for (old, height), new in zip(moving, stepped, strict=True):
+            lower = _log_det(new[1])
+            if not _falls(lower, height):
+                settled.append((old, height))
+            elif len(_distinct([*seen, new])) > len(seen):
+                seen.append(new)
+                going.append((new, lower))
+        moving = going
+        LOG.info("concentration step %d: %d starts go on, log determinants %s", step, len(moving), [h[1] for _, h in moving])
+    (mean, cov), _ = min(settled, key=lambda s: s[1])
     rank = len(_whitener(cov))
     distances = rows.withColumn("_d", mahalanobis(F.col(vector), mean, cov))
     median = distances.agg(F.percentile_approx("_d", 0.5, 10_000)).first()[0]

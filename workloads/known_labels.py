@@ -184,6 +184,21 @@ _planted("n1_forest_finds_planted", "isolation_forest")
 _planted("n2_envelope_finds_planted", "elliptic_envelope")
 
 
+@query("n2_envelope_sees_a_third_in_a_cluster", f"{SQL_OBS} SELECT event_id FROM obs WHERE event_id % 10 < 3")
+def n2_cluster(spark, sf_dir):
+    # Three tenths of all rows in one small cluster drag the moments of all rows to it. Rows as far out as the nearest
+    # planted one come back: an ordinary row shows if the estimate follows the cluster.
+    names = ["delta_phi", "pt_balance", "eta_centrality"]
+    planted = F.col("event_id") % 10 < 3
+    moved = {f: F.when(planted, 10.0 + F.col(f) * 0.01).otherwise(F.col(f)) for f in names}
+    rows = stage(observed(spark, sf_dir).select("event_id", *[c.alias(f) for f, c in moved.items()]))
+    detector = AN.AnomalyDetector("elliptic_envelope")
+    detector.fit(training_share(rows), names)
+    scored = stage(detector.detect(rows).select("event_id", "anomaly_score"))
+    nearest = scored.where(planted).agg(F.min("anomaly_score")).first()[0]
+    return scored.where(F.col("anomaly_score") >= F.lit(nearest)).select("event_id")
+
+
 def _plane(spark, sf_dir):
     """Ten columns that are linear in two, so eight components rebuild them, and a reconstruction detector."""
     a, b = F.col("pt_balance"), F.col("delta_phi")
