@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetloom.functions.moments import deviation
+from jetloom.session import stage
 
 
 def prediction_sensitivity(
@@ -46,7 +47,11 @@ def prediction_sensitivity(
 
 
 def extreme_rows(rows: DataFrame, prediction: str, n: int = 10, key: str = "event_id") -> DataFrame:
-    """The n highest and n lowest predictions with their side, ties by id."""
+    """The n highest and n lowest predictions with their side, ties by id; the input runs once."""
+    return _ends(stage(rows), prediction, n, key)
+
+
+def _ends(rows: DataFrame, prediction: str, n: int, key: str) -> DataFrame:
     high = rows.orderBy(F.desc(prediction), F.desc(key)).limit(n)
     low = rows.orderBy(F.asc(prediction), F.asc(key)).limit(n)
     return high.withColumn("side", F.lit("high")).unionByName(low.withColumn("side", F.lit("low")))
@@ -56,8 +61,8 @@ def extreme_profile(
     rows: DataFrame, prediction: str, features: Sequence[str], n: int = 10, key: str = "event_id"
 ) -> DataFrame:
     """Per feature: mean and deviation of the extremes, and their distance to the mean."""
-    keep = rows.select(key, prediction, *features)
-    extremes = extreme_rows(keep, prediction, n, key)
+    keep = stage(rows.select(key, prediction, *features))
+    extremes = _ends(keep, prediction, n, key)
 
     def on(side: str, f: str) -> Column:
         return F.when(F.col("side") == side, F.col(f).cast("double"))

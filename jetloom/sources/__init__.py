@@ -6,6 +6,7 @@ from jetloom.sources.readers import (
     read_events,
     read_jets,
     read_table,
+    scan_ledger,
     union_tables,
 )
 from jetloom.sources.writers import (
@@ -27,6 +28,7 @@ __all__ = [
     "read_json_records",
     "read_table",
     "reload_stage",
+    "scan_ledger",
     "union_tables",
     "write_csv",
     "write_json_records",

@@ -30,16 +30,20 @@ def read_events(
     columns: Sequence[str] | None = None,
     lineage: bool = False,
     skip_bad_files: bool = False,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Scan an event table with a pinned schema.
 
     ``parallel`` tables come back in the nested form. ``columns`` limits the properties
     read from a parallel or flat table (the scan then touches only those), ``lineage``
-    adds the file each event came from, ``skip_bad_files`` leaves out unreadable files.
+    adds the file each event came from, ``skip_bad_files`` leaves out unreadable files,
+    and ``ledger`` names a folder that the :func:`scan_ledger` of the paths is written to.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {sorted(LAYOUTS)}, not {layout!r}")
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if ledger is not None:
+        scan_ledger(spark, paths, layout).write.mode("overwrite").parquet(ledger)
     table = _reader(spark, LAYOUTS[layout], skip_bad_files).parquet(*paths)
     extra = [F.col("_metadata.file_path").alias("file_path")] if lineage else []
     if columns is not None:
@@ -48,6 +52,28 @@ def read_events(
     return zip_jets(table) if layout == "parallel" else table
 
 
+def scan_ledger(spark: SparkSession, paths: str | Sequence[str], layout: str = "nested") -> DataFrame:
+    """What a scan with ``skip_bad_files`` makes of every listed file: (file_path, length, events, checksum, status).
+
+    The listing left-joined with what the scan reads by file, all columns included, so a file that ends in the middle
+    shows the events before its fault. ``status`` is read, or empty or unreadable; ``checksum`` is the XOR of all
+    rows' hashes and tells two versions of a file apart.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file_path"), "length")
+    found = _reader(spark, LAYOUTS[layout], True).parquet(*paths)
+    counts = found.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("events"), F.bit_xor(F.xxhash64(*found.columns)).alias("checksum")
+    )
+    return listed.join(counts, "file_path", "left").select(
+        "file_path",
+        "length",
+        F.coalesce("events", F.lit(0)).alias("events"),
+        "checksum",
+        F.when(F.col("events") > 0, "read").otherwise("empty or unreadable").alias("status"),
+    )
+
+
 def read_jets(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
     """Scan a jet-per-row table."""
     return read_events(spark, paths, layout="flat", **options)

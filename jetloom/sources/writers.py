@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os.path
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +44,21 @@ def reload_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def per_source_output(df: DataFrame, path: str, file_path: str = "file_path") -> None:
-    """One output folder per input file.
+def per_source_output(df: DataFrame, path: str, file_path: str = "file_path", root: str | None = None) -> None:
+    """One output folder per input file, named by the file's path below ``root`` without its suffix.
 
-    Rows are written by the tasks that hold them: a file contributing much of the table
-    yields several part files instead of one long task.
+    ``root`` is by default the folder that all input files share, so files of one name in two folders stay apart. It
+    follows from the first and the last path in order. Rows are written by the tasks that hold them: a file contributing
+    much of the table yields several part files instead of one long task.
     """
-    name = F.element_at(F.split(F.col(file_path), "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    if root is None:
+        ends = df.agg(F.min(file_path), F.max(file_path)).first()
+        shared = os.path.commonprefix([p or "" for p in ends])
+        root = shared[: shared.rfind("/") + 1]
+    elif not root.endswith("/"):
+        root += "/"
+    # Paths of a scan carry a scheme, a given root may not.
+    below = F.regexp_replace(F.col(file_path), "^([a-z0-9]+:(//)?)?" + re.escape(re.sub("^[a-z0-9]+:(//)?", "", root)), "")
+    stem = F.regexp_replace(below, r"\.[^./]*$", "")
     out = df.withColumn("source_file", stem).drop(file_path)
     out.write.mode("overwrite").option("compression", "snappy").partitionBy("source_file").parquet(path)

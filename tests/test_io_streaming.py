@@ -1,5 +1,7 @@
 """Sources, sinks, batched scoring and streaming."""
 
+from collections import Counter
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -98,6 +100,41 @@ def test_one_output_per_source(spark, folder, tmp_path):
     assert sizes == [4, 5, 6]
 
 
+def test_equal_names_in_two_folders_stay_apart(spark, folder, tmp_path):
+    wide = IO.read_events(spark, files(folder), "parallel")
+    for name in ("one", "two"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        wide.where(f"event_id % 2 = {name == 'two':d}").toPandas().to_parquet(tmp_path / "in" / name / "same.v1.parquet")
+    events = spark.read.parquet(str(tmp_path / "in" / "one"), str(tmp_path / "in" / "two")).select("event_id", "_metadata.file_path")
+    for root in (None, str(tmp_path / "in")):
+        IO.per_source_output(events, str(tmp_path / "o"), root=root)
+        back = spark.read.parquet(str(tmp_path / "o"))
+        want = {(i, ("one", "two")[i % 2] + "/same.v1") for i in range(15)}
+        assert {(r["event_id"], r["source_file"]) for r in back.collect()} == want
+
+
+def test_ledger_of_a_scan(spark, folder, tmp_path):
+    junk = tmp_path / "junk.parquet"
+    junk.write_text("this is not a table")
+    whole = tmp_path / "whole.parquet"
+    rows = spark.read.parquet(files(folder)[0]).toPandas()
+    rows.to_parquet(whole)
+    broken = tmp_path / "broken.parquet"
+    content = bytearray(whole.read_bytes())
+    content[4:200] = bytes(196)  # data pages; the footer still reads
+    broken.write_bytes(content)
+    paths = [*files(folder), str(junk), str(whole), str(broken)]
+    events = IO.read_events(spark, paths, "parallel", lineage=True, skip_bad_files=True, ledger=str(tmp_path / "ledger"))
+    ledger = {r["file_path"].rsplit("/", 1)[-1]: r for r in spark.read.parquet(str(tmp_path / "ledger")).collect()}
+    # Whole rows: a mere count is answered from the footers and does not meet the fault.
+    seen = Counter(r["file_path"].rsplit("/", 1)[-1] for r in events.collect())
+    assert {name for name, r in ledger.items() if r["status"] == "empty or unreadable"} == {"junk.parquet", "broken.parquet"}
+    assert {name: r["events"] for name, r in ledger.items() if r["status"] == "read"} == seen
+    assert ledger["whole.parquet"]["length"] == whole.stat().st_size
+    same = [r["checksum"] for name, r in ledger.items() if r["events"] == len(rows)]
+    assert ledger["whole.parquet"]["checksum"] in same
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([(1, 2.0)], ["event_id", "x"])
     b = spark.createDataFrame([(1,), (3,)], ["event_id"])

@@ -99,7 +99,7 @@ def p7(spark, sf_dir):
 
 @query(
     "p8_self_paired_jets",
-    f"WITH {SQL_NESTED} SELECT event_id, pos, round(2 * m / 1e6, 4) AS mjj, 0.0::DOUBLE AS delta_y, "
+    f"WITH {SQL_NESTED} SELECT event_id, pos, round(2 * m, 6) AS mjj, 0.0::DOUBLE AS delta_y, "
     "0.0::DOUBLE AS delta_phi, 1.0::DOUBLE AS chi, 0.0::DOUBLE AS cos_theta_star, 1.0::DOUBLE AS pt_balance, "
     + sql_round([("dijet_pt", "2 * pt"), ("average_pt", "pt"), ("eta_centrality", "eta")])
     + " FROM jets",
@@ -108,8 +108,7 @@ def p8(spark, sf_dir):
     events = nested_events(spark, sf_dir)
     per_jet = events.select("event_id", F.posexplode(self_pair_observables(F.col("jets"))))
     flat = per_jet.select("event_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "col.*")
-    # The degenerate mass is 2m up to rounding of energies far above it: compare in TeV.
-    return rounded(flat.withColumn("mjj", F.col("mjj") / 1e6), {"mjj": 4})
+    return rounded(flat)
 
 
 @query(

@@ -103,14 +103,30 @@ def s7(spark, sf_dir):
     return capped.select("event_id", F.size("jets").cast("bigint").alias("n_jets"))
 
 
-@query("s8_skip_unreadable_files", NESTED_ROWS)
-def s8(spark, sf_dir):
+def _with_junk(spark, sf_dir) -> list[str]:
+    """Event files and a text file that claims nothing."""
     path = _written_events(spark, sf_dir)
     junk = stage_path(spark, "junk")
     table(spark, sf_dir, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(junk)
     files = spark.read.format("binaryFile").load(junk).select("path").where(F.col("path").endswith(".txt"))
     broken = [r["path"] for r in files.collect()]
-    return rounded(_jet_rows(IO.read_events(spark, [path, *broken], skip_bad_files=True)))
+    return [path, *broken]
+
+
+@query("s8_skip_unreadable_files", NESTED_ROWS)
+def s8(spark, sf_dir):
+    return rounded(_jet_rows(IO.read_events(spark, _with_junk(spark, sf_dir), skip_bad_files=True)))
+
+
+@query(
+    "s8_scan_ledger",
+    "SELECT 'read' AS status, CAST(3 AS BIGINT) AS files, count(*) AS events FROM embeddings"
+    " UNION ALL SELECT 'empty or unreadable', 1, 0",
+)
+def s8_ledger(spark, sf_dir):
+    ledger = stage_path(spark, "ledger")
+    IO.read_events(spark, _with_junk(spark, sf_dir), skip_bad_files=True, ledger=ledger)
+    return spark.read.parquet(ledger).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("events").alias("events"))
 
 
 @query("s9_load_file_or_directory", FLAT_ROWS)
@@ -164,6 +180,18 @@ def s16(spark, sf_dir):
     return rounded(spark.read.parquet(path).drop("source_file"))
 
 
+@query("s16_equal_names_stay_apart", "SELECT vec_id AS event_id, vec_id % 2 AS half FROM embeddings")
+def s16_equal_names(spark, sf_dir):
+    # A task gives its files in both folders one name.
+    halves = stage_path(spark, "halves")
+    nested_events(spark, sf_dir).withColumn("half", F.col("event_id") % 2).write.partitionBy("half").parquet(halves)
+    events = IO.read_events(spark, [f"{halves}/half={k}" for k in (0, 1)], lineage=True)
+    path = stage_path(spark, "per-source")
+    IO.per_source_output(events.select("event_id", "file_path"), path)
+    half = F.regexp_extract("source_file", "^half=([01])/", 1).cast("bigint")
+    return spark.read.parquet(path).select("event_id", half.alias("half"))
+
+
 @query("s17_batched_scoring_from_list", LOOSE_PAIRS)
 def s17(spark, sf_dir):
     folder = _written_events(spark, sf_dir, files=12)

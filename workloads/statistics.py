@@ -130,11 +130,16 @@ vals AS (SELECT x, sum(a) AS na, sum(b) AS nb FROM both_samples GROUP BY x),
 cdf AS (SELECT sum(na) OVER (ORDER BY x) / (SELECT count(*) FROM obs) AS f,
   sum(nb) OVER (ORDER BY x) / (SELECT count(*) FROM obs) AS g FROM vals),
 lam AS (SELECT max(abs(f - g)) AS d, max(abs(f - g)) * sqrt((SELECT count(*) FROM obs) / 2.0) AS l FROM cdf),
-terms AS (SELECT d, CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * l * l) AS t FROM lam, range(1, 101) AS r(k))
+sizes AS (SELECT count(*) AS n FROM obs),
+terms AS (SELECT d, CASE WHEN n > 10000 THEN exp(-2.0 * k * k * l * l)
+    WHEN k * round(d * n) > n THEN 0.0
+    ELSE exp(2 * lgamma(n + 1.0) - lgamma(n - k * round(d * n) + 1.0) - lgamma(n + k * round(d * n) + 1.0)) END
+  * CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END AS t FROM lam, sizes, range(1, 101) AS r(k))
 SELECT round(max(d), 6) AS kolmogorov_smirnov_statistic, round(least(greatest(sum(t), 0.0), 1.0), 6) AS kolmogorov_smirnov_pvalue FROM terms""",
 )
 def g4_pvalue(spark, sf_dir):
-    # Two azimuths of the same event follow nearly the same law, so the p-value is not 0.
+    # Two azimuths of the same event follow nearly the same law, so the p-value is not 0. Samples of one size up to
+    # 10,000 rows have a closed sum over lattice paths; beyond it the value is the asymptotic one.
     cdf = D.joint_cdf(observed(spark, sf_dir), "leading_jet_phi", "subleading_jet_phi")
     return rounded(D.two_sample_distances(cdf).drop("wasserstein_distance"))
 
@@ -196,6 +201,48 @@ def g13(spark, sf_dir):
     return rounded(D.spearman(pairs(spark, sf_dir), "y_true", "y_pred"))
 
 
+# Two azimuths of one event: hardly correlated, so that no p-value is 0.
+_AZIMUTHS = SQL_OBS + ", pairs AS (SELECT event_id, leading_jet_phi AS y_true, subleading_jet_phi AS y_pred FROM obs)"
+
+
+def _tail_sql(statistic: str) -> str:
+    """CTE ``tail(r, p)`` of ``statistic(r, n)``: the chance of a larger |r| by Simpson's rule on the law of r."""
+    weight = "CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""{statistic}, tail AS (
+SELECT r, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * abs(r) / 3000.0
+  * sum({weight} * pow(1 - r * r * (k / 1000.0) * (k / 1000.0), (n - 4) / 2.0)) AS p
+FROM statistic, range(0, 1001) AS t(k) GROUP BY r, n)"""
+
+
+_PEARSON_TAIL = _tail_sql(", statistic AS (SELECT corr(y_true, y_pred) AS r, count(*) AS n FROM pairs)")
+_SPEARMAN_TAIL = _tail_sql(RANKS + ", statistic AS (SELECT corr(a, b) AS r, count(*) AS n FROM ranks)")
+
+
+def _azimuths(spark, sf_dir):
+    return observed(spark, sf_dir).select("event_id", F.col("leading_jet_phi").alias("y_true"), F.col("subleading_jet_phi").alias("y_pred"))
+
+
+@query("g11_pearson_pvalue", f"{_AZIMUTHS}{_PEARSON_TAIL} SELECT round(r, 6) AS pearson_correlation, round(p, 6) AS pearson_pvalue FROM tail")
+def g11_pvalue(spark, sf_dir):
+    return rounded(M.pearson(_azimuths(spark, sf_dir)))
+
+
+@query("g13_spearman_pvalue", f"{_AZIMUTHS}{_SPEARMAN_TAIL} SELECT round(r, 6) AS spearman_correlation, round(p, 6) AS spearman_pvalue FROM tail")
+def g13_pvalue(spark, sf_dir):
+    return rounded(D.spearman(_azimuths(spark, sf_dir), "y_true", "y_pred"))
+
+
+@query(
+    "g14_battery_correlation_pvalues",
+    f"{_AZIMUTHS}{_PEARSON_TAIL.replace('tail', 'tail_r').replace('statistic', 'stat_r')}"
+    f"{_SPEARMAN_TAIL.replace('tail', 'tail_s').replace('statistic', 'stat_s')}"
+    " SELECT 'pearson_pvalue' AS metric, round(p, 6) AS value FROM tail_r UNION ALL SELECT 'spearman_pvalue', round(p, 6) FROM tail_s",
+)
+def g14_pvalues(spark, sf_dir):
+    battery = M.evaluate_predictions(_azimuths(spark, sf_dir))
+    return rounded(battery.where(F.col("metric").isin("pearson_pvalue", "spearman_pvalue")))
+
+
 _SCORE = dict(_FORWARD)["forward_difference_80"] + " * 2.0 + abs(avg(y_true) - avg(y_pred))"
 
 
