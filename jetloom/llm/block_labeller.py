@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import narrow
+from jetloom.llm.staging import narrow, smallest_by_hash
 
 PATH_DIM, WORD_DIM, EXTRA = 96, 32, 8
 INPUT = PATH_DIM + WORD_DIM + EXTRA
@@ -37,18 +38,63 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea iframe object svg math canvas audio video title head select".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that a sibling's start looks past.
+SOFT = frozenset("p td th dt dd li".split())
 #: A start tag that ends an open paragraph, and the elements whose start ends a sibling of the same kind.
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
+TAG_NAME = re.compile("(/?)([A-Za-z][A-Za-z0-9:-]*)")
+SPECIAL = re.compile("[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
+class Path(Sequence):
+    """Labels from the page's root to an element; all elements share their ancestors' part."""
+
+    __slots__ = ("above", "label", "depth", "kinds", "_vector")
+
+    def __init__(self, above: "Path | None" = None, label: str = ""):
+        self.above, self.label = above, label
+        self.depth = above.depth + 1 if above is not None else 0
+        self.kinds = above.kinds if above is not None else (False, False, False)
+        self._vector = None
+        if above is not None:
+            tag = label.split(" ", 1)[0]
+            heading, paragraph, item = self.kinds
+            self.kinds = heading or tag in HEADINGS, paragraph or tag == "p", item or tag == "li"
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __getitem__(self, k):
+        labels, at = [], self
+        while at.above is not None:
+            labels.append(at.label)
+            at = at.above
+        return tuple(reversed(labels))[k]
+
+    def __iter__(self):
+        return iter(self[:])
+
+    def vector(self) -> np.ndarray:
+        """Signed counts of the hashed tags and names on the path."""
+        way, at = [], self
+        while at._vector is None and at.above is not None:
+            way.append(at)
+            at = at.above
+        total = at._vector if at._vector is not None else np.zeros(PATH_DIM, np.int32)
+        for at in reversed(way):
+            total = at._vector = total + _label_vector(at.label)
+        return total
+
+
+ROOT = Path()
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int = 0
 
@@ -56,7 +102,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    label: str
+    path: Path
     silent: bool
 
 
@@ -66,13 +112,80 @@ def _label(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted(words)])
 
 
+class _TagEnds:
+    """Where tags end, in time linear in the page: what was looked for once is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.looked = self.seen = -1  # no special character from `looked` up to `seen`
+
+    def _special(self, at: int) -> int:
+        m = SPECIAL.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+    def after(self, at: int) -> int:
+        """The place behind the ``>`` that ends a tag whose attributes start here, outside of quotes; -1 without one."""
+        if not self.looked <= at <= self.seen:
+            self.looked, self.seen = at, self._special(at)
+        at, passed = self.seen, []
+        while True:
+            if at >= len(self.page):
+                end = -1
+            elif at in self.known:
+                end = self.known[at]
+            elif self.page[at] == ">":
+                end = at + 1
+            else:
+                passed.append(at)
+                if at < self.last[self.page[at]]:
+                    at = self._special(self.page.find(self.page[at], at + 1) + 1)
+                    continue
+                end = -1
+            self.known.update(dict.fromkeys(passed, end))
+            return end
+
+    def next_greater(self, at: int) -> int:
+        return self.page.find(">", at) if at <= self.last[">"] else -1
+
+
+class _Stack:
+    """Open elements, with the places of every tag and of every element that stops a search."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, element: _Open) -> None:
+        for name in self._names(element.tag):
+            self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            for name in self._names(self.open.pop().tag):
+                self.places[name].pop()
+
+    @staticmethod
+    def _names(tag: str) -> list[str]:
+        return [tag, *(["*block"] if tag in BLOCKS else []), *(["*stop"] if tag in BLOCKS and tag not in SOFT else [])]
+
+    @property
+    def path(self) -> Path:
+        return self.open[-1].path if self.open else ROOT
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order: references decoded, white space inside a block made one space, empty blocks left out."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
+    ends = _TagEnds(page)
     pieces: list[str] = []
-    linked = at = 0
-    where: tuple[str, ...] = ()
+    linked = at = seek = 0
+    where = ROOT
 
     def close_block() -> None:
         nonlocal linked
@@ -85,74 +198,82 @@ def blocks_of(page: str) -> list[Block]:
 
     def take(text: str) -> None:
         nonlocal linked, where
-        if not text or (stack and stack[-1].silent):
+        if not text or (stack.open and stack.open[-1].silent):
             return
         text = html_lib.unescape(text)
         if not pieces:
             if text.isspace():
                 return
-            where = tuple(o.label for o in stack)
+            where = stack.path
         pieces.append(text)
-        if any(o.tag == "a" for o in stack):
+        if stack.top("a") >= 0:
             linked += len(text)
 
     n = len(page)
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        start = page.find("<", seek)
+        if start < 0:
             take(page[at:])
             break
-        take(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                take(m.group()[9:].removesuffix("]]>"))
+        name = None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            end = end if end > 2 else n
+        elif page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9) + 3
+            end = end if end > 2 else n
+        elif page.startswith(("<!", "<?"), start):
+            end = ends.next_greater(start + 2) + 1
+        else:
+            name = TAG_NAME.match(page, start + 1)
+            end = ends.after(name.end()) if name else -1
+        if end <= 0:
+            seek = start + 1  # no tag: the sign is text
+            continue
+        take(page[at:start])
+        at = seek = end
+        if name is None:
+            if page.startswith("<![CDATA[", start):
+                take(page[start + 9 : end].removesuffix("]]>"))
             continue
-        tag = m.group(2).lower()
+        tag = name.group(2).lower()
         if tag == "br":
             if pieces:
                 pieces.append(" ")
             continue
         if tag in BLOCKS:
             close_block()
-        if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break  # a stray end tag of an inline element does not close blocks
+        if name.group(1):
+            # A stray end tag of an inline element does not close blocks.
+            place = stack.top(tag)
+            if place >= 0 and (tag in BLOCKS or place > stack.top("*block")):
+                stack.cut(place)
             continue
         if tag in VOID:
             continue
-        ends = SIBLINGS.get(tag, "p" if tag in BLOCKS else "").split()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in ends:
-                del stack[k:]
-                break
-            if stack[k].tag in BLOCKS and stack[k].tag not in ("p", "td", "th", "dt", "dd", "li"):
-                break
-        silent = tag in SILENT or bool(stack and stack[-1].silent)
-        attributes = m.group(3)
+        place = stack.top(*SIBLINGS.get(tag, "p" if tag in BLOCKS else "").split())
+        if place >= 0 and place >= stack.top("*stop"):
+            stack.cut(place)
+        silent = tag in SILENT or bool(stack.open and stack.open[-1].silent)
+        attributes = page[name.end() : end - 1]
         if not attributes.endswith("/"):
-            stack.append(_Open(tag, _label(tag, attributes), silent))
+            stack.push(_Open(tag, Path(stack.path, _label(tag, attributes)), silent))
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-                stack.pop()
+                m = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+                at = seek = m.end() if m else n
+                stack.cut(len(stack.open) - 1)
     close_block()
     return out
 
 
 @lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM)
-    for depth, label in enumerate(path):
-        tag, *words = label.split(" ")
-        for name in (f"<{tag}>", *words):
-            h = zlib.crc32(name.encode())
-            out[h % PATH_DIM] += 1 if h >> 16 & 1 else -1
-    return np.clip(out, -2, 2)
+def _label_vector(label: str) -> np.ndarray:
+    out = np.zeros(PATH_DIM, np.int32)
+    tag, *words = label.split(" ")
+    for name in (f"<{tag}>", *words):
+        h = zlib.crc32(name.encode())
+        out[h % PATH_DIM] += 1 if h >> 16 & 1 else -1
+    return out
 
 
 @lru_cache(maxsize=200_000)
@@ -160,21 +281,17 @@ def _word_spot(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % WORD_DIM
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
 def block_vectors(blocks: list[Block]) -> np.ndarray:
     """One row per block; the whole text of each block counts."""
     out = np.zeros((len(blocks), INPUT))
     for k, b in enumerate(blocks):
         words = b.text.split(" ")
-        out[k, :PATH_DIM] = _path_vector(b.path)
+        out[k, :PATH_DIM] = np.clip(b.path.vector(), -2, 2)
         spots = np.bincount([_word_spot(w) for w in words], minlength=WORD_DIM)
         out[k, PATH_DIM : PATH_DIM + WORD_DIM] = spots / np.sqrt((spots**2).sum())
-        tags = {label.split(" ", 1)[0] for label in b.path}
         out[k, PATH_DIM + WORD_DIM :] = (
             np.log1p(len(b.text)) / 6, min(1.0, b.linked / len(b.text)), len(b.path) / 10, k / max(1, len(blocks) - 1),
-            sum(b.text.count(c) for c in ".,;!?") / max(1, len(words)), not tags.isdisjoint(HEADINGS), "p" in tags, "li" in tags,
+            sum(b.text.count(c) for c in ".,;!?") / max(1, len(words)), *b.path.kinds,
         )
     return out
 
@@ -344,10 +461,12 @@ def _layout(rng: np.random.Generator, texts: list[str], prose: list[str]) -> str
 
 @dataclass(frozen=True)
 class LabellerPlan:
-    """``fit_pages`` bounds the pages that the driver reads; ``layouts`` pages are made of their blocks."""
+    """``fit_pages`` bounds the pages that the driver reads; ``layouts`` pages are made of their blocks, of which the
+    first ``block_chars`` characters are learned from."""
 
     fit_pages: int = 150
     layouts: int = 900
+    block_chars: int = 2000
     epochs: int = 14
     batch: int = 30
     rate: float = 0.01
@@ -360,7 +479,7 @@ def fit(pages: list[str], plan: LabellerPlan = LabellerPlan()) -> BlockLabeller:
     texts, prose = ["home", "contact", "search", "log in"], []
     for page in pages:
         for b in blocks_of(page):
-            (prose if len(b.text.split(" ")) >= 6 and b.linked * 2 < len(b.text) else texts).append(b.text[:2000])
+            (prose if len(b.text.split(" ")) >= 6 and b.linked * 2 < len(b.text) else texts).append(b.text[: plan.block_chars])
     prose = prose or ["some words that stand for a paragraph of an article."]
     model = BlockLabeller.fresh(plan.seed)
     examples = []
@@ -393,7 +512,7 @@ def fit(pages: list[str], plan: LabellerPlan = LabellerPlan()) -> BlockLabeller:
 def fit_on(pages: DataFrame, html: str = "html", plan: LabellerPlan = LabellerPlan()) -> BlockLabeller:
     """Labeller from at most ``fit_pages`` pages, smallest hash first."""
     rows = narrow(pages, html=html).filter("html IS NOT NULL").select(F.xxhash64("html").alias("h"), "html")
-    return fit(rows.orderBy("h", "html").limit(plan.fit_pages).toArrow()["html"].to_pylist(), plan)
+    return fit(smallest_by_hash(rows, "h", plan.fit_pages, "html").toArrow()["html"].to_pylist(), plan)
 
 
 def extract(pages: DataFrame, model: BlockLabeller, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

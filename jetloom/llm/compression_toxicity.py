@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import narrow
+from jetloom.llm.staging import drop_rows, narrow, smallest_by_hash, with_row_id
 from jetloom.llm.text import IS_PUNCTUATION, LOWER, chunks, gram_hashes, text_bytes, words_of
 
 #: Bytes of a window and of its advance: words of up to WINDOW - STEP bytes lie whole in some window.
@@ -236,7 +236,10 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     )
     share = known.agg(F.avg("label")).first()[0]
     order = F.xxhash64("doc_id")
-    chosen = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(most) for k, most in enumerate(per_class)]
+    chosen = [
+        smallest_by_hash(known.filter(F.col("label") == k).withColumn("_h", order), "_h", most, "doc_id").drop("_h")
+        for k, most in enumerate(per_class)
+    ]
     texts = narrow(docs, doc_id="doc_id", text="text").filter("text IS NOT NULL")
     table = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy(order, "doc_id", "text").select("text", "label").toArrow()
     return table, float(share or 0.0)
@@ -280,6 +283,6 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan = ToxicityPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents not predicted toxic, all columns. Rows of one id stand or fall together."""
-    flagged = score(docs, fit_on(docs, labels, plan), doc_id, text).filter("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(flagged, docs[doc_id] == flagged["_toxic_id"], "left_anti")
+    """The documents not predicted toxic, all columns. Rows are told apart by id and text, so NULL ids are judged too."""
+    rows = with_row_id(docs, doc_id, text)
+    return drop_rows(rows, score(rows, fit_on(docs, labels, plan), "_jetloom_row_id", text).filter("predicted = 1"))

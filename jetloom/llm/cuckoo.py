@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import narrow, staged
+from jetloom.llm.staging import keep_rows, narrow, staged, with_row_id
 from jetloom.llm.text import SPACE_REGEX
 
 SLOTS = 4
@@ -261,6 +261,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose text no document of smaller id has, all columns. Equal ids stand or fall together."""
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi")
+    """One document of every text, all columns: the one of smallest id.
+
+    Rows are told apart by id and text, so a NULL or repeated id neither saves nor loses a text; a row whose id is NULL
+    or repeated yields to one with an id of its own. Which of several rows equal in id and text stays is open.
+    """
+    rows = with_row_id(docs, doc_id, text)
+    return keep_rows(rows, exact_groups(rows, "_jetloom_row_id", text).filter("kept"))

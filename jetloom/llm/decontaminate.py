@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import KeyBitmap, narrow, probe, split_mix, staged
+from jetloom.llm.staging import KeyBitmap, drop_rows, narrow, probe, split_mix, staged, with_row_id
 from jetloom.llm.text import IS_PUNCTUATION, chunks, text_bytes, words_of
 
 SEED_BITMAP_BITS = 1 << 24
@@ -141,17 +141,24 @@ def _doc_hits(plan: LeakPlan, shared, bits: int, short: list[int]):
 
 
 def _verify(plan: LeakPlan):
+    """The best overlap of a document and an item over all their diagonals."""
+
     def run(batches):
         for batch in batches:
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             rows = []
             for k in range(batch.num_rows):
                 doc, item = (np.frombuffer(columns[c][k].as_buffer(), np.uint64) for c in ("doc_tokens", "item_tokens"))
-                diagonal = columns["diagonal"][k].as_py()
-                found = overlap(doc, item, diagonal, plan)
-                if found:
-                    start, end, same = found
-                    rows.append((columns["doc_id"][k].as_py(), columns["item_id"][k].as_py(), start + diagonal, end + diagonal, end - start, same, len(item)))
+                best = None
+                for diagonal in columns["diagonals"][k].as_py():
+                    found = overlap(doc, item, diagonal, plan)
+                    if found:
+                        start, end, same = found
+                        rank = (-same, end - start, start + diagonal, start)
+                        best = min(best, rank) if best else rank
+                if best:
+                    same, length, at = -best[0], best[1], best[2]
+                    rows.append((columns["doc_id"][k].as_py(), columns["item_id"][k].as_py(), at, at + length, length, same, len(item)))
             names = ["doc_id", "item_id", "doc_start", "doc_end", "words", "equal_words", "item_words"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], names)
 
@@ -182,8 +189,11 @@ def leaks(
     wanted = KeyBitmap(ids, "id")
     texts = docs.filter(wanted.admits("doc_id")).join(ids, docs["doc_id"] == ids["id"], "left_semi")
     doc_tokens = staged(texts.mapInArrow(_tokens, "doc_id long, doc_tokens binary"), "doc-tokens")
+    # One row per document and item: the tokens of both meet once, however many diagonals they share. There are
+    # fewer diagonals than tokens.
+    paired = met.groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals"))
     verified = (
-        met.join(item_tokens, "item_id").join(doc_tokens, "doc_id")
+        paired.join(item_tokens, "item_id").join(doc_tokens, "doc_id")
         .mapInArrow(_verify(plan), "doc_id long, item_id long, doc_start long, doc_end long, words long, equal_words long, item_words long")
     )
     rank = F.struct("equal_words", -F.col("words"), -F.col("doc_start"), "doc_end", "item_words", "words", "doc_start")
@@ -195,6 +205,6 @@ def leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leak, all columns."""
-    leaky = leaks(docs, benchmark, plan, doc_id, text).select(F.col("doc_id").alias("_leaky_id")).distinct()
-    return docs.join(leaky, docs[doc_id] == leaky["_leaky_id"], "left_anti")
+    """The documents without a leak, all columns. Rows are told apart by id and text, so NULL ids are judged too."""
+    rows = with_row_id(docs, doc_id, text)
+    return drop_rows(rows, leaks(rows, benchmark, plan, "_jetloom_row_id", text))

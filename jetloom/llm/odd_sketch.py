@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import KeyBitmap, connected_labels, narrow, split_mix, staged
+from jetloom.llm.staging import KeyBitmap, connected_labels, keep_rows, narrow, split_mix, staged, with_row_id
 from jetloom.llm.text import chunks, distinct_shingles, text_bytes, words_of
 
 ROWS = 5
@@ -361,6 +361,9 @@ def near_components(docs: DataFrame, plan: NearPlan = QUERY_PLAN, doc_id: str =
 
 
 def keep_smallest(docs: DataFrame, plan: NearPlan = NearPlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, all columns; by default components at the general 80 percent."""
-    kept = near_components(docs, plan, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi")
+    """One document of each component, all columns; by default components at the general 80 percent.
+
+    Rows are told apart by id and text, as in ``cuckoo.keep_first``; texts without words all stay, once an id.
+    """
+    rows = with_row_id(docs, doc_id, text)
+    return keep_rows(rows, near_components(rows, plan, "_jetloom_row_id", text).filter("kept"))

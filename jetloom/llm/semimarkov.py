@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jetloom.llm.staging import narrow
+from jetloom.llm.staging import narrow, smallest_by_hash
 from jetloom.llm.text import chunks, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -360,7 +360,8 @@ def all_spans(text: str, field: SemiMarkovField) -> tuple[list[Span], list[Span]
 def fit_on(docs: DataFrame, text: str = "text", fit_docs: int = 1500) -> SemiMarkovField:
     """Field from at most ``fit_docs`` texts (a documented bound) holding digits or at-signs, smallest hash first."""
     rows = narrow(docs, text=text).filter(F.col("text").rlike("[0-9@]"))
-    rows = rows.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(fit_docs)
+    rows = rows.select(F.xxhash64("text").alias("h"), "text")
+    rows = smallest_by_hash(rows, "h", fit_docs, "text")
     return fit(rows.toArrow()["text"].to_pylist())
 
 

@@ -20,6 +20,53 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest_by_hash(rows: DataFrame, h: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of smallest BIGINT hash ``h``, ties by the other columns.
+
+    Hashes above a bound that about twice the wanted rows stay below go first, so that the sort behind the limit does not
+    bring ``n`` rows of every partition into one task. The bound is widened until enough rows are below it, and does not
+    change the result.
+    """
+    total = rows.count()
+    share = (2 * n + 64) / max(total, 1)
+    while share < 1:
+        below = rows.filter(F.col(h) <= int(-(2.0**63) + share * 2.0**64))
+        if below.count() >= n:
+            rows = below
+            break
+        share *= 4
+    return rows.orderBy(h, *ties).limit(n)
+
+
+def with_row_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with a BIGINT ``_jetloom_row_id`` that tells rows apart by id and text.
+
+    It is the id where the id is not NULL and occurs once. Other rows get a number of 2^62 or more from a hash of id and
+    text, so rows equal in both share it, and a row with a plain id is the smaller one.
+    """
+    own = docs[doc_id].cast("long")
+    apart = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(own, docs[text]), 2)
+    repeated = docs.groupBy(own.alias("_jetloom_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _jetloom_again IS NOT NULL").select("_jetloom_again")
+    repeated = staged(repeated, "repeated-ids")
+    if repeated.limit(1).count() == 0:
+        return docs.withColumn("_jetloom_row_id", F.coalesce(own, apart))
+    marked = docs.join(repeated, own == repeated["_jetloom_again"], "left")
+    return marked.withColumn("_jetloom_row_id", F.when(own.isNull() | repeated["_jetloom_again"].isNotNull(), apart).otherwise(own)).drop(repeated["_jetloom_again"])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of ``docs`` with ``_jetloom_row_id``, one row for each ``_jetloom_row_id`` of ``kept``, without that column."""
+    ids = kept.select(F.col("doc_id").alias("_jetloom_row_id")).distinct()
+    # The join has dealt and sorted the rows by the column that they are made distinct by.
+    return docs.join(ids, "_jetloom_row_id", "left_semi").dropDuplicates(["_jetloom_row_id"]).drop("_jetloom_row_id")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` with ``_jetloom_row_id`` but for the rows whose ``_jetloom_row_id`` is in ``dropped``, without that column."""
+    ids = dropped.select(F.col("doc_id").alias("_jetloom_row_id")).distinct()
+    return docs.join(ids, "_jetloom_row_id", "left_anti").drop("_jetloom_row_id")
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so that extra or clashing columns of the caller never matter.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,6 +15,9 @@ from jetloom.llm.staging import split_mix
 #: Bytes of text worked on at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+#: Tokens of more bytes are hashed by blake2b: the polynomial sum modulo 2^64 is equal for some long texts made for it.
+LONG_TOKEN = 32
+
 #: ASCII white space of the contracts: space and U+0009 to U+000D.
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -131,6 +135,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks:
     start = np.flatnonzero(now & (~before | cut))
     end = np.flatnonzero(now & (~after | doc_start[1:])) + 1
     hashes = range_hash(prefix_hash(data), start, end)
+    long = np.flatnonzero(end - start > LONG_TOKEN)
+    if len(long):
+        digests = (hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in zip(start[long], end[long], strict=True))
+        hashes[long] = np.frombuffer(b"".join(digests), "<u8")
     return Words(hashes, start, end, np.searchsorted(start, base))
 
 
