@@ -287,13 +287,16 @@ def sample_starts(x: np.ndarray, starts: int, keep: int, seed: int) -> list[Esti
     return sorted(_distinct(settled), key=lambda e: _log_det(e[1]))
 
 
-def _start_sample(rows: DataFrame, vector: str, n: int, size: int, seed: int) -> np.ndarray:
-    """About ``size`` vectors by hash: the bound comes before the sort, so no task meets more than a few times that."""
-    ticket = F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(TICKETS).cast("bigint"))
+def _ticket(seed: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(TICKETS).cast("bigint"))
+
+
+def _start_sample(rows: DataFrame, vector: str, n: int, size: int, ticket: Column) -> np.ndarray:
+    """About ``size`` vectors by ticket: the bound comes before the sort, so no task meets more than a few times that."""
     bound = int(TICKETS * min(1.0, (2 * size + 64) / max(n, 1)))
-    few = rows.select(vector, ticket.alias("_ticket")).where(F.col("_ticket") < F.lit(bound)).dropDuplicates([vector])
+    few = rows.select(vector, ticket.alias("_offer")).where(F.col("_offer") < F.lit(bound)).dropDuplicates()
     # At most `size` vectors.
-    return np.array([r[0] for r in few.orderBy("_ticket", vector).limit(size).select(vector).collect()], dtype="float64")
+    return np.array([r[0] for r in few.orderBy("_offer", vector).limit(size).select(vector).collect()], dtype="float64")
 
 
 def concentrate(rows: DataFrame, vector: str, estimates: list[Estimate], core: float) -> list[Estimate]:
@@ -308,19 +311,25 @@ def concentrate(rows: DataFrame, vector: str, estimates: list[Estimate], core: f
 
 
 def robust_covariance(
-    rows: DataFrame, vector: str, starts: int = STARTS, sample_size: int = START_SAMPLE, seed: int = 42
+    rows: DataFrame,
+    vector: str,
+    starts: int = STARTS,
+    sample_size: int = START_SAMPLE,
+    seed: int = 42,
+    ticket: str | None = None,
 ) -> Estimate:
     """Location and covariance of the densest half, then of all consistent rows.
 
     Random starts concentrate on a sample of ``sample_size`` rows; the best of them and the estimate from all rows
     concentrate together on all rows: keep the rows nearest under the current estimate, re-estimate, leave a start when
     its determinant no longer falls. It falls with every other step and there are finitely many halves, so no bound on
-    the steps is needed. The smallest determinant wins.
+    the steps is needed. The smallest determinant wins. ``ticket`` names a column in [0, 2^62) that draws the sample; by
+    default the vector is hashed, which a vector that varies in its last digits does not repeat.
     """
     n, *everything = vector_moments(rows, vector)
     d = len(everything[0])
     core = min(1.0, (n + d + 1) / 2.0 / n)
-    sample = _start_sample(rows, vector, n, sample_size, seed)
+    sample = _start_sample(rows, vector, n, sample_size, F.col(ticket) if ticket else _ticket(seed, vector))
     moving = [tuple(everything), *sample_starts(sample, starts, KEPT_STARTS, seed)]
     # What a start brings from the sample or from all rows is no half of all rows yet.
     moving = [(e, (d + 1, math.inf)) for e in moving]
@@ -491,8 +500,10 @@ class AnomalyDetector:
         return {"n_estimators": len(self._trees)}
 
     def _fit_elliptic_envelope(self, train: DataFrame) -> dict[str, float]:
-        rows = stage(train.select(F.array(*self._scaled()).alias("_z")))
-        self._location = robust_covariance(rows, "_z")
+        # Tickets come from the unscaled columns: scaling differs in its last digits between partitionings.
+        ticket = _ticket(self.seed, self.key, *self.features)
+        rows = stage(train.select(F.array(*self._scaled()).alias("_z"), ticket.alias("_ticket")))
+        self._location = robust_covariance(rows, "_z", seed=self.seed, ticket="_ticket")
         return {}
 
     def _fit_reconstruction(self, train: DataFrame) -> dict[str, float]:
