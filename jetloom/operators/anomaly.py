@@ -26,7 +26,7 @@ from jetloom.operators.distribution import exact_quantiles
 from jetloom.operators.scaling import FeatureScaler, ScalerFit
 from jetloom.session import stage
 
-METHODS = ("isolation_forest", "elliptic_envelope", "reconstruction")
+METHODS = ("isolation_forest", "elliptic_envelope", "reconstruction", "fourier")
 VOTING = ("majority", "unanimous", "any")
 
 CONTAMINATION = 0.05
@@ -35,6 +35,8 @@ SAMPLE_SIZE = 256
 TICKETS = 1 << 62
 BOTH = "iso_forest_anomaly AND reconstruction_anomaly"
 CODE_SIZE = 8
+# Random frequencies of the non-linear code.
+FREQUENCIES = 64
 # A fall of the log determinant that counts as one; smaller ones are rounding.
 C_STEP_TOL = 1e-9
 # Random starts of the robust covariance, the rows they concentrate on first, and those that go on to all rows.
@@ -69,6 +71,36 @@ def _sum_squares(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# ---------------------------------------------------------------- Fourier features
+
+
+def draw_frequencies(dimensions: int, count: int, seed: int) -> np.ndarray:
+    """``count`` rows of ``dimensions`` frequencies and a phase, for the kernel ``exp(-|a - b|^2 / dimensions)``."""
+    rng = np.random.default_rng(seed)
+    frequencies = rng.normal(scale=math.sqrt(2.0 / dimensions), size=(count, dimensions))
+    return np.hstack([frequencies, rng.uniform(0.0, 2.0 * math.pi, size=(count, 1))])
+
+
+def fourier_features(vector: Column, frequencies: np.ndarray) -> Column:
+    """Cosines of the vector along the frequencies; their dot products approach the kernel of :func:`draw_frequencies`."""
+    scale = F.lit(math.sqrt(2.0 / len(frequencies)))
+    extended = F.concat(vector, F.array(F.lit(1.0)))
+    return _bound(extended, lambda z: F.transform(_literal_matrix(frequencies), lambda row: F.cos(_dot(row, z)) * scale))
+
+
+def fourier_error(vector: Column, frequencies: np.ndarray, center: np.ndarray, axes: np.ndarray) -> Column:
+    """Squared length, in the space of the features, of what the principal ``axes`` (one a row) leave of the vector."""
+    centered = F.zip_with(fourier_features(vector, frequencies), _literal_vector(center), lambda a, b: a - b)
+    error = _bound(centered, lambda c: _sum_squares(c) - _sum_squares(_times(axes, c)))
+    # Rounding may leave a little less than nothing; NULL stays NULL.
+    return _bound(error, lambda e: F.when(e < 0.0, 0.0).otherwise(e))
+
+
 def _upper_quantile(scores: DataFrame, column: str, q: float) -> float:
     return exact_quantiles(scores, [column], [q]).first()["value"]
 
@@ -366,7 +398,9 @@ def robust_covariance(
 class AnomalyDetector:
     """Fit on presumed ordinary events, then flag the contamination share's outliers.
 
-    ``trees`` and ``sample_size`` (rows a tree is grown from) are the isolation forest's.
+    ``trees`` and ``sample_size`` (rows a tree is grown from) are the isolation forest's. ``reconstruction`` rebuilds a row
+    from its principal axes, a linear code; ``fourier`` does so in the space of random Fourier features, which follows
+    curved shapes.
     """
 
     def __init__(
@@ -430,6 +464,8 @@ class AnomalyDetector:
             state.update({f"tree {i:04d}": tree for i, tree in enumerate(self._trees)})
         elif self.method == "elliptic_envelope":
             state["location"] = [part.tolist() for part in self._location]
+        elif self.method == "fourier":
+            state["fourier"] = [part.tolist() for part in self._fourier]
         else:
             state["projection"] = self._projection.tolist()
         rows = [(name, json.dumps(value)) for name, value in state.items()]
@@ -449,6 +485,8 @@ class AnomalyDetector:
             out._trees = [state[name] for name in sorted(state) if name.startswith("tree ")]
         elif out.method == "elliptic_envelope":
             out._location = tuple(np.array(part) for part in state["location"])
+        elif out.method == "fourier":
+            out._fourier = tuple(np.array(part) for part in state["fourier"])
         else:
             out._projection = np.array(state["projection"])
         return out
@@ -489,6 +527,8 @@ class AnomalyDetector:
         z = F.array(*self._scaled())
         if self.method == "elliptic_envelope":
             return mahalanobis(z, *self._location)
+        if self.method == "fourier":
+            return fourier_error(z, *self._fourier)
         # The residual of an orthogonal projection P is (I - P) z.
         leftover = np.eye(len(self.features)) - self._projection
         return _sum_squares(_times(leftover, z)) / F.lit(float(len(self.features)))
@@ -513,6 +553,14 @@ class AnomalyDetector:
         self._projection = axes @ axes.T
         return {"code_size": code}
 
+    def _fit_fourier(self, train: DataFrame) -> dict[str, float]:
+        frequencies = draw_frequencies(len(self.features), FREQUENCIES, self.seed)
+        rows = stage(train.select(array_to_vector(fourier_features(F.array(*self._scaled()), frequencies)).alias("_z")))
+        center = rows.agg(Summarizer.mean(F.col("_z"))).first()[0].toArray()
+        axes = PCA(k=CODE_SIZE, inputCol="_z", outputCol="_code").fit(rows).pc.toArray().T
+        self._fourier = (frequencies, center, axes)
+        return {"code_size": CODE_SIZE, "frequencies": FREQUENCIES}
+
 
 class EnsembleAnomalyDetector:
     """Several detectors side by side on the same row, combined by a vote."""

@@ -228,6 +228,20 @@ def n3(spark, sf_dir):
     return rounded(detector.detect(rows).select("event_id", "anomaly_score"))
 
 
+@query("n3_fourier_sees_the_centre", f"{SQL_OBS} SELECT event_id FROM obs WHERE event_id % {PLANTED} = 0")
+def n3_centre(spark, sf_dir):
+    # Rows lie on a circle, planted ones at its centre. Rows with as high a score as the lowest planted one come back.
+    planted = F.col("event_id") % PLANTED == 0
+    angle = F.col("delta_phi") * 1000.0
+    moved = [F.when(planted, 0.0).otherwise(c).alias(f) for f, c in (("a", F.cos(angle)), ("b", F.sin(angle)))]
+    rows = stage(observed(spark, sf_dir).select("event_id", *moved))
+    detector = AN.AnomalyDetector("fourier")
+    detector.fit(training_share(rows), ["a", "b"])
+    scored = stage(detector.detect(rows).select("event_id", "anomaly_score"))
+    lowest = scored.where(planted).agg(F.min("anomaly_score")).first()[0]
+    return scored.where(F.col("anomaly_score") >= F.lit(lowest)).select("event_id")
+
+
 @query("n4_quality_in_a_plane", f"{SQL_OBS} SELECT event_id, 0.0::DOUBLE AS total_reconstruction_error, 0.0::DOUBLE AS max_feature_error, 0.0::DOUBLE AS mean_absolute_error FROM obs")
 def n4(spark, sf_dir):
     rows, detector = _plane(spark, sf_dir)
