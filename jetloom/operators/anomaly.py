@@ -11,13 +11,15 @@ import json
 import logging
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jetloom.functions.kinematics import nan_low
@@ -43,6 +45,10 @@ C_STEP_TOL = 1e-9
 STARTS = 200
 START_SAMPLE = 1500
 KEPT_STARTS = 5
+# Buckets that narrow a cut down, the rows among which it is found by order, and the bit patterns of all distances.
+BUCKETS = 1024
+CANDIDATES = 20_000
+ALL_BITS = (1 << 63) - 1
 
 LOG = logging.getLogger(__name__)
 Estimate = tuple[np.ndarray, np.ndarray]
@@ -224,36 +230,20 @@ def path_score(trees: list[dict[str, list]], columns: Sequence[Column], sample_s
 # ---------------------------------------------------------------- robust covariance
 
 
-def _moments_of(rows: DataFrame, vector: str, *group: str) -> DataFrame:
-    outer = F.flatten(
-        F.transform(vector, lambda a: F.transform(vector, lambda b: a * b))
-    )
-    vectors = rows.select(
-        *group, array_to_vector(F.col(vector)).alias("_v"), array_to_vector(outer).alias("_vv")
-    )
-    return vectors.groupBy(*group).agg(
+def vector_moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and population covariance of an array column, one aggregation."""
+    outer = F.flatten(F.transform(vector, lambda a: F.transform(vector, lambda b: a * b)))
+    vectors = rows.select(array_to_vector(F.col(vector)).alias("_v"), array_to_vector(outer).alias("_vv"))
+    row = vectors.agg(
         F.count(F.lit(1)).alias("n"),
         Summarizer.mean(F.col("_v")).alias("mean"),
         Summarizer.mean(F.col("_vv")).alias("second"),
-    )
-
-
-def _unpacked(row: Row) -> tuple[int, np.ndarray, np.ndarray]:
+    ).first()
     mean = row["mean"].toArray()
     second = row["second"].toArray().reshape(len(mean), len(mean))
     return row["n"], mean, second - np.outer(mean, mean)
 
 
-def vector_moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and population covariance of an array column, one aggregation."""
-    return _unpacked(_moments_of(rows, vector).first())
-
-
-def grouped_moments(rows: DataFrame, vector: str, group: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """:func:`vector_moments` of every group, one aggregation; for a few groups."""
-    return {row[group]: _unpacked(row) for row in _moments_of(rows, vector, group).collect()}
-
-
 def _whitener(cov: np.ndarray) -> np.ndarray:
     """W with W'W = pseudo-inverse of cov; directions without variance are dropped."""
     values, vectors = np.linalg.eigh(cov)
@@ -261,10 +251,33 @@ def _whitener(cov: np.ndarray) -> np.ndarray:
     return (vectors[:, usable] / np.sqrt(values[usable])).T
 
 
+def _distances(columns: np.ndarray, mean: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared lengths of the whitened vectors (one a column) and the centered vectors; sums run in a fixed order."""
+    centered = columns - mean[:, None]
+    total = np.zeros(columns.shape[1])
+    for weights in white:
+        along = np.zeros(columns.shape[1])
+        for weight, component in zip(weights, centered):
+            along += weight * component
+        total += along * along
+    return total, centered
+
+
 def mahalanobis(vector: Column, mean: np.ndarray, cov: np.ndarray) -> Column:
-    """Squared Mahalanobis distance as a column expression."""
-    centered = F.zip_with(vector, _literal_vector(mean), lambda a, b: a - b)
-    return _sum_squares(_times(_whitener(cov), centered))
+    """Squared Mahalanobis distance as a column expression; NULL where the vector or a component is."""
+    white, d = _whitener(cov), len(mean)
+
+    @F.arrow_udf("double")
+    def distance(vectors: pa.Array) -> pa.Array:
+        flat = vectors.flatten()
+        missing = vectors.is_null().to_numpy(zero_copy_only=False).copy()
+        part = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(axis=1)
+        out = np.zeros(len(vectors))
+        out[~missing] = _distances(flat.to_numpy(zero_copy_only=False).reshape(-1, d).T, mean, white)[0]
+        missing[~missing] = part
+        return pa.array(out, mask=missing)
+
+    return distance(vector)
 
 
 def _log_det(cov: np.ndarray) -> tuple[int, float]:
@@ -331,15 +344,166 @@ def _start_sample(rows: DataFrame, vector: str, n: int, size: int, ticket: Colum
     return np.array([r[0] for r in few.orderBy("_offer", vector).limit(size).select(vector).collect()], dtype="float64")
 
 
+def _blocks(rows: DataFrame, vector: str) -> DataFrame:
+    """The vectors in blocks of at most one Arrow batch, components first: a pass over them costs no work per row outside numpy."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.T.tobytes()], pa.binary())], ["block"])
+
+    return rows.select(F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull()).mapInArrow(pack, "block binary")
+
+
+def _per_partition(blocks: DataFrame, d: int, start, add, finish) -> list[tuple]:
+    """``finish(state)`` of every partition, its blocks added to ``start()`` one by one: a few small arrays each."""
+
+    def run(batches):
+        state = start()
+        for batch in batches:
+            for block in batch.column(0):
+                add(state, np.frombuffer(block.as_buffer(), np.float64).reshape(d, -1))
+        found = [np.ascontiguousarray(part) for part in finish(state)]
+        yield pa.RecordBatch.from_arrays([pa.array([[p.tobytes() for p in found]], pa.list_(pa.binary()))], ["parts"])
+
+    return [tuple(row["parts"]) for row in blocks.mapInArrow(run, "parts array<binary>").collect()]
+
+
+@dataclass
+class _Bracket:
+    """Bit patterns ``[low, high)`` of the distances of one estimate that hold the wanted rank; ``below`` are under them."""
+
+    low: int
+    high: int
+    below: int = 0
+    inside: int | None = None
+    rank: int = 0
+
+    @property
+    def width(self) -> int:
+        return -(-(self.high - self.low) // BUCKETS)
+
+    @property
+    def settled(self) -> bool:
+        return self.inside is not None and (self.inside <= CANDIDATES or self.high - self.low == 1)
+
+
+def _bits(distances: np.ndarray) -> np.ndarray:
+    """Distances as integers of the same order: none is negative."""
+    return distances.view(np.int64)
+
+
+def _first_bracket(estimate: Estimate, share: float, sample: np.ndarray | None) -> _Bracket:
+    """Where the sample says the share's cut lies; a wrong guess costs a pass, not the result."""
+    if sample is None or len(sample) < 100:
+        return _Bracket(0, ALL_BITS)
+    mean, cov = estimate
+    ordered = np.sort(_distances(sample.T, mean, _whitener(cov))[0])
+    place, spread = share * len(ordered), 2.5 * math.sqrt(len(ordered))
+    low, high = (int(_bits(ordered)[int(np.clip(k, 0, len(ordered) - 1))]) for k in (place - spread, place + spread))
+    return _Bracket(low, high + 1)
+
+
+def _brackets(blocks: DataFrame, estimates: list[Estimate], share: float, sample: np.ndarray | None) -> list[_Bracket]:
+    """Brackets of the distance that ``share`` of the rows do not pass, narrowed by bucket counts until few rows are inside."""
+    brackets = [_first_bracket(e, share, sample) for e in estimates]
+    d = len(estimates[0][0])
+    while True:
+        todo = [k for k, b in enumerate(brackets) if not b.settled]
+        if not todo:
+            return brackets
+        asked = [(estimates[k][0], _whitener(estimates[k][1]), brackets[k].low, brackets[k].width) for k in todo]
+
+        def add(counts: np.ndarray, block: np.ndarray) -> None:
+            for slot, (mean, white, low, width) in enumerate(asked):
+                distance = _distances(block, mean, white)[0]
+                bits = _bits(distance[~np.isnan(distance)])
+                bucket = np.clip((bits - low) // width, -1, BUCKETS) + 1
+                counts[slot] += np.bincount(bucket, minlength=BUCKETS + 2)
+
+        parts = _per_partition(
+            blocks, d, lambda: np.zeros((len(asked), BUCKETS + 2), np.int64), add, lambda counts: (counts,)
+        )
+        counts = sum(np.frombuffer(p, np.int64).reshape(len(asked), -1) for (p,) in parts)
+        for slot, k in enumerate(todo):
+            old, upto = brackets[k], np.cumsum(counts[slot])
+            rank = min(max(1, math.ceil(share * int(upto[-1]))), int(upto[-1]))
+            bucket = int(np.searchsorted(upto, rank))
+            edges = [0, *(min(old.low + i * old.width, ALL_BITS) for i in range(BUCKETS + 1)), ALL_BITS]
+            inside = int(counts[slot][bucket])
+            brackets[k] = _Bracket(edges[bucket], edges[bucket + 1], int(upto[bucket]) - inside, inside, rank)
+
+
+def _below(
+    blocks: DataFrame, estimates: list[Estimate], brackets: list[_Bracket]
+) -> list[tuple[float, int, np.ndarray, np.ndarray]]:
+    """Per estimate the cut, and count, mean and covariance of the rows at most that far; one pass.
+
+    Rows under the bracket are summed where they are; the few inside it come back to be ordered.
+    """
+    d = len(estimates[0][0])
+    # A bracket of one value is its cut: all rows that hold it are within.
+    asked = [
+        (mean, _whitener(cov), b.high if b.high - b.low == 1 else b.low, b.high)
+        for (mean, cov), b in zip(estimates, brackets, strict=True)
+    ]
+
+    def start():
+        return [[0, np.zeros(d), np.zeros((d, d)), [], []] for _ in asked]
+
+    def add(state, block: np.ndarray) -> None:
+        for own, (mean, white, low, high) in zip(state, asked):
+            distance, centered = _distances(block, mean, white)
+            bits, known = _bits(distance), ~np.isnan(distance)
+            near, open_ = known & (bits < low), known & (bits >= low) & (bits < high)
+            inner = centered[:, near]
+            own[0] += inner.shape[1]
+            own[1] += inner.sum(axis=1)
+            own[2] += np.einsum("an,bn->ab", inner, inner)
+            if open_.any():
+                own[3].append(distance[open_])
+                own[4].append(centered[:, open_].T)
+
+    def finish(state):
+        for n, first, second, distance, vectors in state:
+            yield np.concatenate(([float(n)], first, second.ravel()))
+            yield np.concatenate([np.zeros(0), *distance])
+            yield np.concatenate([np.zeros((0, d)), *vectors])
+
+    parts = _per_partition(blocks, d, start, add, finish)
+    out = []
+    for k, ((mean, _), bracket) in enumerate(zip(estimates, brackets, strict=True)):
+        sums = sum(np.frombuffer(p[3 * k]) for p in parts)
+        distance = np.concatenate([np.frombuffer(p[3 * k + 1]) for p in parts])
+        vectors = np.concatenate([np.frombuffer(p[3 * k + 2]).reshape(-1, d) for p in parts])
+        if len(distance):
+            cut = float(np.sort(distance)[bracket.rank - bracket.below - 1])
+        else:
+            cut = float(np.array([bracket.low]).view(np.float64)[0])
+        vectors = vectors[distance <= cut]
+        n = int(sums[0]) + len(vectors)
+        first = (sums[1 : d + 1] + vectors.sum(axis=0)) / n
+        second = (sums[d + 1 :].reshape(d, d) + vectors.T @ vectors) / n
+        out.append((cut, n, mean + first, second - np.outer(first, first)))
+    return out
+
+
+def _within(blocks: DataFrame, estimate: Estimate, cut: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance of the rows nearer than ``cut``."""
+    bits = int(np.array([cut]).view(np.int64)[0])
+    # An empty bracket: all rows under it, none to be ordered.
+    return _below(blocks, [estimate], [_Bracket(bits, bits)])[0][1:]
+
+
+def _concentrated(blocks: DataFrame, estimates: list[Estimate], core: float, sample: np.ndarray | None) -> list[Estimate]:
+    brackets = _brackets(blocks, estimates, core, sample)
+    return [(mean, cov) for _, _, mean, cov in _below(blocks, estimates, brackets)]
+
+
 def concentrate(rows: DataFrame, vector: str, estimates: list[Estimate], core: float) -> list[Estimate]:
-    """One concentration step of every estimate over all rows: one aggregation for the cuts, one for the moments."""
-    distances = F.array(*[mahalanobis(F.col(vector), mean, cov) for mean, cov in estimates])
-    measured = rows.select(vector, distances.alias("_d"))
-    cuts = measured.agg(*[F.percentile_approx(F.get("_d", F.lit(k)), core, 10_000) for k in range(len(estimates))]).first()
-    per_start = measured.select(vector, F.posexplode("_d").alias("_start", "_distance"))
-    near = per_start.where(F.col("_distance") <= F.get(_literal_vector(np.array(cuts)), F.col("_start")))
-    moments = grouped_moments(near, vector, "_start")
-    return [moments[k][1:] for k in range(len(estimates))]
+    """One concentration step of every estimate over all rows: bucket counts for the exact cuts, one pass for the moments."""
+    return _concentrated(_blocks(rows, vector), estimates, core, None)
 
 
 def robust_covariance(
@@ -362,13 +526,14 @@ def robust_covariance(
     d = len(everything[0])
     core = min(1.0, (n + d + 1) / 2.0 / n)
     sample = _start_sample(rows, vector, n, sample_size, F.col(ticket) if ticket else _ticket(seed, vector))
+    blocks = stage(_blocks(rows, vector))
     moving = [tuple(everything), *sample_starts(sample, starts, KEPT_STARTS, seed)]
     # What a start brings from the sample or from all rows is no half of all rows yet.
     moving = [(e, (d + 1, math.inf)) for e in moving]
     settled: list[tuple[Estimate, tuple[int, float]]] = []
     step = 0
     while moving:
-        stepped = concentrate(rows, vector, [e for e, _ in moving], core)
+        stepped = _concentrated(blocks, [e for e, _ in moving], core, sample)
         step += 1
         going, seen = [], []
         for (old, height), new in zip(moving, stepped, strict=True):
@@ -382,13 +547,9 @@ def robust_covariance(
         LOG.info("concentration step %d: %d starts go on, log determinants %s", step, len(moving), [h[1] for _, h in moving])
     (mean, cov), _ = min(settled, key=lambda s: s[1])
     rank = len(_whitener(cov))
-    distances = rows.withColumn("_d", mahalanobis(F.col(vector), mean, cov))
-    median = distances.agg(F.percentile_approx("_d", 0.5, 10_000)).first()[0]
+    median = _below(blocks, [(mean, cov)], _brackets(blocks, [(mean, cov)], 0.5, sample))[0][0]
     cov = cov * (median / chi2_quantile(0.5, rank))
-    consistent = rows.withColumn("_d", mahalanobis(F.col(vector), mean, cov)).where(
-        F.col("_d") < chi2_quantile(0.975, rank)
-    )
-    kept, new_mean, new_cov = vector_moments(consistent, vector)
+    kept, new_mean, new_cov = _within(blocks, (mean, cov), chi2_quantile(0.975, rank))
     return (new_mean, new_cov) if kept > rank else (mean, cov)
 
 

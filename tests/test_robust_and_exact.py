@@ -97,3 +97,43 @@ def test_pvalue_column_is_exact_up_to_its_bound_and_null_safe(spark):
     found = two_sample_distances(joint_cdf(pairs, "a", "b")).first()
     far = round(found["kolmogorov_smirnov_statistic"] * 49)
     assert found["kolmogorov_smirnov_pvalue"] == pytest.approx(brute(far, 7, 7))
+
+
+def test_concentration_cuts_are_exact_on_many_rows(spark, monkeypatch):
+    """Cuts found by bucket counts are the wanted order statistic, with ties, whatever the first guess was."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(60_000, 3)), 2)
+    x[:20_000] = x[0]
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(5)
+    monkeypatch.setattr(AN, "CANDIDATES", 50)
+    blocks = AN._blocks(rows, "v")
+    estimates = [(np.zeros(3), np.eye(3)), (x[0], np.eye(3) * 4.0), (np.full(3, 9.0), np.diag([1.0, 2.0, 0.0]))]
+    for sample in (None, x[::40], x[:200] + 50):
+        for share in (0.1, 0.50005, 1.0):
+            found = AN._below(blocks, estimates, AN._brackets(blocks, estimates, share, sample))
+            for (mean, cov), (cut, n, new_mean, new_cov) in zip(estimates, found):
+                distance = (((x - mean) @ AN._whitener(cov).T) ** 2).sum(axis=1)
+                want = np.sort(distance)[math.ceil(share * len(x)) - 1]
+                near = x[distance <= want * (1 + 1e-12)]
+                assert cut == pytest.approx(want, rel=1e-12) and n == len(near)
+                assert np.allclose(new_mean, near.mean(axis=0)) and np.allclose(new_cov, np.cov(near.T, bias=True))
+
+
+def test_a_concentration_step_sorts_and_repeats_no_rows(spark):
+    """Rows are neither multiplied by the estimates nor shuffled: a step is two passes over packed blocks."""
+    _, _, rows = clustered(spark, 0.3)
+    blocks = AN._blocks(rows, "v")
+    assert blocks.count() < 50
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    kept, mean, cov = AN._within(blocks, (np.zeros(3), np.eye(3)), 7.8)
+    x = np.array([r[0] for r in rows.collect()])
+    near = x[(x**2).sum(axis=1) < 7.8]
+    assert kept == len(near) and np.allclose(mean, near.mean(axis=0)) and np.allclose(cov, np.cov(near.T, bias=True))
+
+
+def test_distance_of_missing_vectors_is_missing(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 0.0]), (5, [0.0, 3.0])], "i int, v array<double>")
+    scored = rows.select("i", AN.mahalanobis(F.col("v"), np.zeros(2), np.diag([1.0, 4.0])).alias("d")).orderBy("i").collect()
+    d = [r.d for r in scored]
+    assert d[0] == pytest.approx(2.0) and d[1] is None and d[2] is None and math.isnan(d[3]) and d[4] == pytest.approx(2.25)
