@@ -398,3 +398,21 @@ def test_concentration_steps_go_on_to_convergence(spark, monkeypatch):
     monkeypatch.setattr(AN, "vector_moments", moments)
     AN.robust_covariance(spark.range(100).select(F.array(F.rand(1), F.rand(2)).alias("v")), "v")
     assert len(steps) == 17
+
+
+def test_boosting_that_keeps_falling_goes_to_its_last_round_at_once(spark, table, monkeypatch):
+    rows = add_split(table).where("split != 'test'").withColumn("held", F.col("split") == "validation")
+    monkeypatch.setattr(ML, "FIRST_ROUNDS", 2)
+    runs = []
+    monkeypatch.setattr(ML, "patience_cut", lambda errors, patience: runs.append(len(errors)) or (len(errors), False))
+    model = ML.train_boosted_trees(rows, FEATURES, "y", "held", ML.BoostedTreesConfig(rounds=24, max_depth=2, patience=3))
+    assert runs == [2, 5, 24] and model.stages[-1].getNumTrees == 24
+    config = ML.BoostedTreesConfig()
+    assert ML.next_rounds(60, 55, config) == 120  # a plateau: the patience may run out soon
+    assert ML.next_rounds(10, 10, config) < ML.next_rounds(60, 60, config) == config.rounds
+
+
+def test_boosting_takes_no_more_partitions_than_cores(spark):
+    many = spark.range(0, 4000, 1, 200).withColumnRenamed("id", "event_id")
+    few = ML._few_partitions(many, 10)
+    assert few.rdd.getNumPartitions() == min(200, spark.sparkContext.defaultParallelism) and few.count() == 4000
