@@ -137,3 +137,16 @@ def test_distance_of_missing_vectors_is_missing(spark):
     scored = rows.select("i", AN.mahalanobis(F.col("v"), np.zeros(2), np.diag([1.0, 4.0])).alias("d")).orderBy("i").collect()
     d = [r.d for r in scored]
     assert d[0] == pytest.approx(2.0) and d[1] is None and d[2] is None and math.isnan(d[3]) and d[4] == pytest.approx(2.25)
+
+
+def test_steps_go_on_while_the_determinant_falls(spark, monkeypatch):
+    """More than ten steps: starts that meet go on as one, until a step no longer lowers the determinant."""
+    steps = []
+
+    def concentrated(blocks, estimates, core, sample):
+        steps.append(len(estimates))
+        return [(np.zeros(2), np.eye(2) * max(2.0 ** -len(steps), 2.0**-15))] * len(estimates)
+
+    monkeypatch.setattr(AN, "_concentrated", concentrated)
+    AN.robust_covariance(spark.range(100).select(F.array(F.rand(1), F.rand(2)).alias("v")), "v")
+    assert len(steps) == 16 and steps[1:] == [1] * 15
