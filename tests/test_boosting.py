@@ -78,3 +78,20 @@ def test_larger_tables_take_a_job_a_level(spark, rows, monkeypatch):
     run = lambda n: lambda: ML.train_boosted_trees(rows, FEATURES, "y", "held", config(rounds=n, max_depth=3))
     more, less = jobs_of(spark, "more", run(8))[1], jobs_of(spark, "less", run(2))[1]
     assert more - less <= 6 * (3 + 1) + 2  # a level each, then the errors; a checkpoint
+
+
+def test_no_round_is_grown_twice(spark, rows, monkeypatch):
+    """l2_validation_metrics: runs of 10, 60 and 1,000 rounds took 1,070, and a whole run when the patience passed early."""
+    monkeypatch.setattr(BO, "ONE_TASK_CELLS", 0)
+    monkeypatch.setattr(ML, "FIRST_ROUNDS", 2)
+    numbers = []
+    grow = BO.grow
+    monkeypatch.setattr(BO, "grow", lambda plan, number, sums: numbers.append(number) or grow(plan, number, sums))
+    given = config(rounds=40, max_depth=4, patience=3, learning_rate=0.9)
+    model = ML.train_boosted_trees(rows, FEATURES, "y", "held", given)
+    assert numbers == list(range(len(numbers))) and len(numbers) < given.rounds
+    assert model.stages[-1].getNumTrees == len(numbers) - given.patience  # ended in the round in which the patience passed
+    held = ML.regression_metrics(ML.score(model, rows.where("held"), "p"), "y", "p").first()
+    expected, errors = spark_ml(rows, given)
+    assert held["val_mse"] == pytest.approx(errors[model.stages[-1].getNumTrees - 1], rel=1e-9)
+    assert ML.patience_cut(errors, given.patience)[0] == model.stages[-1].getNumTrees
