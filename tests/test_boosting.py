@@ -95,3 +95,14 @@ def test_no_round_is_grown_twice(spark, rows, monkeypatch):
     expected, errors = spark_ml(rows, given)
     assert held["val_mse"] == pytest.approx(errors[model.stages[-1].getNumTrees - 1], rel=1e-9)
     assert ML.patience_cut(errors, given.patience)[0] == model.stages[-1].getNumTrees
+
+
+def test_split_counts_are_those_of_spark_ml(spark, rows):
+    """l4_split_importance, with a job count that does not follow the rounds."""
+    given = config(rounds=20)
+    counts, jobs = jobs_of(
+        spark, "counts", lambda: ML.split_counts(ML.train_boosted_trees(rows, FEATURES, "y", "held", given), FEATURES).collect()
+    )
+    debug = spark_ml(rows, given)[0].toDebugString
+    assert {r["feature"]: r["importance"] for r in counts} == {f: debug.count(f"If (feature {i} ") for i, f in enumerate(FEATURES)}
+    assert jobs < 60
