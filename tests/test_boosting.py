@@ -106,3 +106,13 @@ def test_split_counts_are_those_of_spark_ml(spark, rows):
     debug = spark_ml(rows, given)[0].toDebugString
     assert {r["feature"]: r["importance"] for r in counts} == {f: debug.count(f"If (feature {i} ") for i, f in enumerate(FEATURES)}
     assert jobs < 60
+
+
+def test_training_flow_starts_no_jobs_per_round(spark, rows, monkeypatch):
+    """l6_training_flow; the tables it returns are not looked at here."""
+    monkeypatch.setattr(flows.M, "evaluate_predictions", lambda test: test)
+    table = rows.select("event_id", F.col("y").alias(flows.TARGET), "a", "b", "c")
+    train = lambda n: lambda: flows.train(table, (), config(rounds=n))
+    (longer, more), (shorter, less) = jobs_of(spark, "more", train(40)), jobs_of(spark, "less", train(10))
+    assert longer.model.stages[-1].getNumTrees > 10 and more - less < 20
+    assert longer.validation_metrics.first()["val_mse"] < shorter.validation_metrics.first()["val_mse"]
