@@ -1,5 +1,7 @@
 """The boosting learner: Spark ML's trees, few jobs, no round grown twice."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import GBTRegressor
@@ -31,6 +33,7 @@ def config(**given):
 
 
 def jobs_of(spark, name, run):
+    name = f"{name}-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(name, name)
     try:
         out = run()
